@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, jaccard
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
