@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard
+from . import decontaminate, exact_dedup, jaccard
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    }
