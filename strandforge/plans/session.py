@@ -38,3 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables in the shared folder that one operator writes, reads again and drops."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
