@@ -8,13 +8,17 @@ linked documents of n and m shingles is at most d = (n + m)(den - num)/(den + nu
   so that any two sets whose sizes allow a link meet in the larger one's band.
 * Pigeonhole. d flipped bits leave all but d blocks as they were. A block is 2**64 bits wide and so kept as the XOR of its
   set positions (a bit flipped twice vanishes, as in the sketch). With all blocks in one order that both documents
-  share (fullest first, then by value), the first d+1 of each must have one in common. A document with too few
-  blocks that aren't empty also emits its band's empty block. No limit is set on a block's documents.
+  share, the first d+1 of each must have one in common. Any such order gives whole results; this one puts blocks with the most
+  rare shingles first, so that a passage which thousands of documents share leads to no candidates unless it is most of a document. A
+  document with too few blocks that aren't empty also emits its band's empty block. No limit is set on a block's documents.
+* Frequent shingles, which the order needs, are those found more than once among about WINDOW shingles of distinct sets, in all
+  windows together in at least 1/HOT of the documents. So at most HOT times the mean set size are broadcast.
 * Stars, then the rest. In a block's bucket every set is first held against one centre, then, where the bucket isn't yet one component,
   against another; sets of one component need no more comparison. What is left, sets of different components that share
   a bucket and weren't compared, is compared in full. So no link between components is lost, and groups of copies need
   about one comparison a member. Equal sets are one node from the start.
-* Verify. Narrow sketches (8 to 2 bits a shingle) drop pairs whose Hamming distance is over d; what stays is counted exactly.
+* Verify. Narrow sketches (4 to 1 bits a shingle) drop pairs whose Hamming distance is over d; what stays is counted exactly,
+  from texts that a bitmap of bounded size (16 MB) picks before they are shuffled.
 
 A set's identity is a 64-bit digest of its members, a shingle's a 64-bit hash.
 """
@@ -25,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import GOLD, cut, in_slices, mix, read, slice_hashes
+from .shared import GOLD, Scratch, cut, in_slices, mix, read, slice_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
 STARS = 2
 #: Digests of sets that a task remembers, to emit equal sets once.
 REMEMBER = 1 << 18
+HOT, LEAST_HOT, WINDOW = 4000, 8, 1 << 20
+#: Bits of the bitmap of documents whose sets are needed.
+PICK_BITS = 1 << 27
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -104,12 +111,15 @@ def bands(n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.nd
     yield (n > 0) & (most >= upper), own + 1, (n + most) * (den - num) // (den + num)
 
 
-def block_keys(d: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the blocks by which a set looks for partners."""
+def block_keys(d: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the blocks by which a set looks for partners. hot: the frequent shingles, sorted."""
     docs, keys = [], []
+    scarce = np.ones(len(h), np.int64)
+    if len(hot):
+        scarce[hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h] = 0
     for part, band, most in bands(n, num, den):
         rows = part[d]
-        dd, hh = d[rows], h[rows]
+        dd, hh, rare = d[rows], h[rows], scarce[rows]
         if not len(dd):
             continue
         blocks = np.maximum(64, 5 * 4 ** band[dd] // 2).astype(np.uint64)
@@ -120,7 +130,7 @@ def block_keys(d: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int)
         parity, full, of = np.bitwise_xor.reduceat(mix(hh + GOLD), at), np.diff(at, append=len(dd)), dd[at]
         salt = mix(band[of].astype(np.uint64) + np.uint64(1))
         key = mix(parity ^ mix(block[at] + salt))
-        order = np.lexsort((key, -full, of))
+        order = np.lexsort((key, -full, -np.add.reduceat(rare, at), of))
         of, key = of[order], key[order]
         held = np.bincount(of, minlength=len(n))
         rank = np.arange(len(of)) - np.repeat((np.cumsum(held) - held)[held > 0], held[held > 0])
@@ -136,23 +146,61 @@ def block_keys(d: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int)
 
 
 def narrow(h: np.ndarray, band: int) -> list[int]:
-    """The parity sketch of 8 * 4**band bits, as 64-bit words."""
-    bits = max(64, 8 * 4**band)
+    """The parity sketch of 4 * 4**band bits, as 64-bit words."""
+    bits = max(64, 4 * 4**band)
     at = ((mix(h ^ GOLD) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
     odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def _nodes(k: int):
+NODE = "n long, sid long, band int, own array<long>, next array<long>, often array<struct<h: long, c: long>>"
+
+
+def _nodes(k: int, num: int, den: int):
+    ints = pa.list_(pa.int64())
+    often = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
+
+    def tally(held: list[np.ndarray]) -> list[dict]:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        return [{"h": int(x), "c": int(y)} for x, y in zip(h[c > 1].view(np.int64), c[c > 1])]
+
     def of(batches):
+        held: list[np.ndarray] = []
+        within: set[int] = set()
+        kind = None
         for rows, data, off in in_slices(batches, "text"):
+            kind = rows.column("doc_id").type
             d, h, n = shingle_sets(data, off, k)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(digests(d, h, n))], ["doc_id", "n", "sid"])
+            sid, at = digests(d, h, n), np.append(0, np.cumsum(n))
+            band, more = np.searchsorted(_EDGES, n, "right"), np.zeros(len(n), bool)
+            for part, _, _ in list(bands(n, num, den))[1:]:
+                more = part
+            own, further = [], []
+            for i, x in enumerate(sid.tolist()):
+                mine = h[at[i] : at[i + 1]]
+                own.append(narrow(mine, int(band[i])) if n[i] else None)
+                further.append(narrow(mine, int(band[i]) + 1) if more[i] else None)
+                if n[i] and x not in within:
+                    within.add(x)
+                    held.append(mine)
+            seen: list = [None] * len(n)
+            if sum(map(len, held)) > WINDOW:
+                seen[0] = tally(held)
+                held, within = [], set()
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(n), pa.array(sid), pa.array(band.astype(np.int32)), pa.array(own, ints), pa.array(further, ints), pa.array(seen, often)],
+                ["doc_id", "n", "sid", "band", "own", "next", "often"],
+            )
+        if held:  # a row without a document carries the last tally
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, kind), pa.array([-1]), pa.array([0]), pa.array([0], pa.int32()), pa.array([None], ints), pa.array([None], ints), pa.array([tally(held)], often)],
+                ["doc_id", "n", "sid", "band", "own", "next", "often"],
+            )
 
     return of
 
 
-def _keys(k: int, num: int, den: int):
+def _keys(k: int, num: int, den: int, hot):
     def of(batches):
         seen: set[int] = set()
         for _, data, off in in_slices(batches, "text"):
@@ -169,7 +217,7 @@ def _keys(k: int, num: int, den: int):
             if not fresh.all():
                 here = fresh[d]
                 d, h, n = d[here], h[here], np.where(fresh, n, 0)
-            doc, key = block_keys(d, h, n, num, den)
+            doc, key = block_keys(d, h, n, num, den, hot.value)
             for at in range(0, len(doc), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(sid[doc[part]]), pa.array(n[doc[part]])], ["key", "sid", "n"])
@@ -178,29 +226,25 @@ def _keys(k: int, num: int, den: int):
 
 
 def _sets(k: int):
-    kind = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("own", pa.list_(pa.int64())), ("next", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
-
     def of(batches):
         for _, data, off in in_slices(batches, "text"):
             d, h, n = shingle_sets(data, off, k)
-            sid, at = digests(d, h, n), np.append(0, np.cumsum(n))
-            band = np.searchsorted(_EDGES, n, "right")
-            rows = [(i, h[at[i] : at[i + 1]]) for i in np.flatnonzero(n).tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(sid[i]) for i, _ in rows], pa.int64()),
-                    pa.array([len(x) for _, x in rows], pa.int64()),
-                    pa.array([int(band[i]) for i, _ in rows], pa.int32()),
-                    pa.array([narrow(x, int(band[i])) for i, x in rows], pa.list_(pa.int64())),
-                    pa.array([narrow(x, int(band[i]) + 1) for i, x in rows], pa.list_(pa.int64())),
-                    pa.array([x.view(np.int64) for _, x in rows], pa.list_(pa.int64())),
-                ],
-                schema=kind,
-            )
+            ends = np.append(0, np.cumsum(n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(digests(d, h, n)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["sid", "members"])
 
     return of
 
 
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids. A bitmap drops nearly all others before the join shuffles texts."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS))
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("map", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    likely = docs.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("bucket")).filter(F.getbit(byte, (place % 8).cast("int")) == 1)
+    return likely.select(docs.columns).join(ids, "doc_id", "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp) for each end of edges (a, b): comp is the smallest v that can be reached.
 
@@ -218,22 +262,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    for x in "ab":
-        pairs = pairs.join(_side(sets, x), x)
-    top = F.greatest("band_a", "band_b")
-    words = [F.when(F.col(f"band_{x}") == top, F.col(f"own_{x}")).otherwise(F.col(f"next_{x}")) for x in "ab"]
+def _side(reps: DataFrame, x: str) -> DataFrame:
+    return reps.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "own", "next")])
+
+
+def _close(num: int, den: int, a: str = "a", b: str = "b") -> Column:
+    """Whether the sizes and the narrow sketches of two sides allow a link."""
+    top = F.greatest(f"band_{a}", f"band_{b}")
+    words = [F.when(F.col(f"band_{x}") == top, F.col(f"own_{x}")).otherwise(F.col(f"next_{x}")) for x in (a, b)]
     apart = F.aggregate(F.zip_with(*words, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-    close = pairs.filter((apart * (den + num)) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b", "n_a", "n_b")
-    for x in "ab":
-        close = close.join(sets.select(F.col("sid").alias(x), F.col("members").alias(f"members_{x}")), x)
-    shared = F.size(F.array_intersect("members_a", "members_b"))
-    return close.filter(shared * den >= (F.col("n_a") + F.col("n_b") - shared) * num).select("a", "b")
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return (n * num <= m * den) & (m * num <= n * den) & (apart * (den + num) <= (n + m) * (den - num))
 
 
-def _side(sets: DataFrame, x: str) -> DataFrame:
-    return sets.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "own", "next")])
+def _verified(close: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, their members counted."""
+    needed = close.select(F.col("a").alias("sid")).union(close.select("b")).distinct()
+    ids = scratch.save(reps.join(needed, "sid", "left_semi").select("doc_id"))
+    sets = scratch.save(_picked(docs, ids).select("text").mapInArrow(_sets(k), "sid long, members array<long>"))
+    for x in "ab":
+        close = close.join(sets.select(F.col("sid").alias(x), F.col("members").alias(f"members_{x}")), x)
+    shared, total = F.size(F.array_intersect("members_a", "members_b")), F.size("members_a") + F.size("members_b")
+    return scratch.save(close.filter(shared * den >= (total - shared) * num).select("a", "b").distinct())
 
 
 def _pair(p: str, q: str) -> list:
@@ -246,45 +296,54 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are runs of characters other than [\\x20\\x09-\\x0D], A-Z lower-cased. With fewer than k words the whole sequence is one
     shingle. Null, empty and blank texts have no shingles and link with nothing. Rows with a null doc_id take part; a component
     of such rows alone has a null component_id. Other columns aren't read."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    nodes = cut(raw.mapInArrow(_nodes(k), f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, n long, sid long"))
-    rows = raw.select("text").mapInArrow(_keys(k, num, den), "key long, sid long, n long")
+    nodes = scratch.save(raw.mapInArrow(_nodes(k, num, den), f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, {NODE}"))
+    least = max(LEAST_HOT, nodes.filter("n >= 0").count() // HOT)
+    often = nodes.select(F.explode("often").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).filter(F.col("c") >= least)
+    hot = spark.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+    rows = raw.select("text").mapInArrow(_keys(k, num, den, hot), "key long, sid long, n long")
     by_key = W.partitionBy("key")
-    buckets = cut(
+    buckets = scratch.save(
         rows.withColumn("centre", F.min("sid").over(by_key))
         .withColumn("last", F.max("sid").over(by_key))
         .filter("centre != last")
         .select("key", "sid", "n", "centre")
     )
-    needed = cut(buckets.select("sid").distinct())
-    heads = nodes.filter("n > 0").join(needed, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id")).alias("h")).select(F.col("h.doc_id").alias("head"))
-    texts = raw.join(heads, raw["doc_id"] == heads["head"], "left_semi").select("text")
-    sets = cut(texts.mapInArrow(_sets(k), "sid long, n long, band int, own array<long>, next array<long>, members array<long>").dropDuplicates(["sid"]))
-
-    fits = lambda p, q: (F.col(p) * num <= F.col(q) * den) & (F.col(q) * num <= F.col(p) * den)
-    pairs = cut(buckets.filter("sid != centre").select(*_pair("sid", "centre")).distinct())
-    tried, edges = pairs, cut(_verified(pairs, sets, num, den))
+    alone = F.struct(F.col("doc_id").isNull(), "doc_id", "n", "band", "own", "next")
+    reps = nodes.filter("n > 0").join(buckets.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(alone).alias("r"))
+    reps = scratch.save(reps.select("sid", "r.doc_id", "r.n", "r.band", "r.own", "r.next"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        close = scratch.save(pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").filter(_close(num, den)).select("a", "b"))
+        return _verified(close, raw, reps, scratch, k, num, den)
+
+    fits = (F.col("n") * num <= F.col("c.n") * den) & (F.col("c.n") * num <= F.col("n") * den)
+    tried = scratch.save(buckets.filter("sid != centre").select(*_pair("sid", "centre")).distinct())
+    edges = links(tried)
     labels, left = components(edges), buckets.select("key", "sid", "n")
     for star in range(1, STARS + 1):
         known = left.select("key", "sid", "n").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        left = cut(known.withColumn("low", F.min("comp").over(by_key)).withColumn("high", F.max("comp").over(by_key)).filter("low != high").select("key", "sid", "n", "comp"))
+        left = scratch.save(known.withColumn("low", F.min("comp").over(by_key)).withColumn("high", F.max("comp").over(by_key)).filter("low != high").select("key", "sid", "n", "comp"))
         if left.isEmpty():
             break
         if star < STARS:
             centre = F.struct(F.xxhash64("sid", F.lit(star)).alias("dice"), "sid", "comp", "n")
-            seen = left.withColumn("c", F.min(centre).over(by_key)).filter("comp != c.comp").filter(fits("n", "c.n"))
-            pairs = seen.select(*_pair("sid", "c.sid"))
+            pairs = left.withColumn("c", F.min(centre).over(by_key)).filter("comp != c.comp").filter(fits).select(*_pair("sid", "c.sid"))
+            pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+            tried, found = tried.union(pairs), links(pairs)
         else:
-            p, q = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "comp")]) for x in "pq")
-            pairs = p.join(q, "key").filter("sid_p < sid_q AND comp_p != comp_q").filter(fits("n_p", "n_q")).select(*_pair("sid_p", "sid_q"))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        found = cut(_verified(pairs, sets, num, den))
+            p, q = (left.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(reps, x), x) for x in "ab")
+            rest = p.join(q, "key").filter("a < b AND comp_a != comp_b").filter(_close(num, den))
+            rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            found = _verified(scratch.save(rest), raw, reps, scratch, k, num, den)
         if not found.isEmpty():
             edges = edges.union(found)
             labels = components(edges)
-    placed = cut(nodes.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("comp")))
+    placed = nodes.filter("n >= 0").join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("comp"))
+    placed = cut(placed)
     first = cut(placed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    scratch.drop()
     out = placed.join(first, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

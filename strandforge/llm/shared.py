@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import cut, shared_dir, ship
+from ..plans.session import Scratch, cut, shared_dir, ship
 
-__all__ = ["cut", "in_slices", "mix", "ragged", "read", "shared_dir", "ship", "slice_hashes", "text_or_empty"]
+__all__ = ["Scratch", "cut", "in_slices", "mix", "ragged", "read", "shared_dir", "ship", "slice_hashes", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
