@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard
+from . import bpe, decontaminate, exact_dedup, jaccard
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+        "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     }
 
