@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard
+from . import bpe, decontaminate, exact_dedup, jaccard, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     }
 
