@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard, secrets, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_pii_surrogates": pii.op8_pii_surrogates,
         "op9_secret_scans": secrets.op9_secret_scans,
         "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     }
