@@ -11,12 +11,13 @@ linked documents of n and m shingles is at most d = (n + m)(den - num)/(den + nu
   share, the first d+1 of each must have one in common. Any such order gives whole results; this one puts blocks with the most
   rare shingles first, so that a passage which thousands of documents share leads to no candidates unless it is most of a document. A
   document with too few blocks that aren't empty also emits its band's empty block. No limit is set on a block's documents.
-* Frequent shingles, which the order needs, are those found more than once among about WINDOW shingles of distinct sets, in all
-  windows together in at least 1/HOT of the documents. So at most HOT times the mean set size are broadcast.
-* Stars, then the rest. In a block's bucket every set is first held against one centre, then, where the bucket isn't yet one component,
-  against another; sets of one component need no more comparison. What is left, sets of different components that share
-  a bucket and weren't compared, is compared in full. So no link between components is lost, and groups of copies need
-  about one comparison a member. Equal sets are one node from the start.
+* Frequent shingles, which the order needs, are counted over all documents as those found more than once among about WINDOW shingles of
+  distinct sets; the most frequent ones, HOT at most (16 MB), are broadcast.
+* Buckets of the same members are one: documents that share a passage share many blocks.
+* Stars, then the rest. In a block's bucket every set is first held against the smallest, then, where the bucket isn't yet one component,
+  against the largest, then against drawn ones; sets of one component need no more comparison, and a bucket of three is
+  done after two stars. What is left, sets of different components that share a bucket and weren't compared, is compared in full. So
+  no link between components is lost, and groups of copies need a few comparisons a member. Equal sets are one node from the start.
 * Verify. Narrow sketches (4 to 1 bits a shingle) drop pairs whose Hamming distance is over d; what stays is counted exactly,
   from texts that a bitmap of bounded size (16 MB) picks before they are shuffled.
 
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from .shared import GOLD, Scratch, cut, in_slices, mix, read, slice_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
-STARS = 2
+STARS = 4
 #: Digests of sets that a task remembers, to emit equal sets once.
 REMEMBER = 1 << 18
-HOT, LEAST_HOT, WINDOW = 4000, 8, 1 << 20
+HOT, LEAST_HOT, WINDOW = 2_000_000, 4, 1 << 20
 #: Bits of the bitmap of documents whose sets are needed.
 PICK_BITS = 1 << 27
 
@@ -299,16 +300,24 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     nodes = scratch.save(raw.mapInArrow(_nodes(k, num, den), f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, {NODE}"))
-    least = max(LEAST_HOT, nodes.filter("n >= 0").count() // HOT)
-    often = nodes.select(F.explode("often").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).filter(F.col("c") >= least)
+    often = scratch.save(nodes.select(F.explode("often").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).filter(F.col("c") >= LEAST_HOT))
+    sizes = often.groupBy((F.floor(F.log2("c") * 8) / 8).alias("octave")).agg(F.count("*").alias("k")).orderBy(F.desc("octave")).collect()
+    room, least = HOT, float("inf")
+    for r in sizes:  # a few hundred rows at most: eighths of octaves
+        if (room := room - r["k"]) < 0:
+            break
+        least = r["octave"]
+    often = often.filter(F.floor(F.log2("c") * 8) / 8 >= least)
     hot = spark.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
     rows = raw.select("text").mapInArrow(_keys(k, num, den, hot), "key long, sid long, n long")
     by_key = W.partitionBy("key")
     buckets = scratch.save(
         rows.withColumn("centre", F.min("sid").over(by_key))
         .withColumn("last", F.max("sid").over(by_key))
+        .withColumn("members", F.xxhash64(F.count("sid").over(by_key), F.bit_xor(F.xxhash64("sid")).over(by_key)))
         .filter("centre != last")
-        .select("key", "sid", "n", "centre")
+        .select(F.col("members").alias("key"), "sid", "n", "centre")
+        .distinct()
     )
     alone = F.struct(F.col("doc_id").isNull(), "doc_id", "n", "band", "own", "next")
     reps = nodes.filter("n > 0").join(buckets.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(alone).alias("r"))
@@ -324,16 +333,19 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels, left = components(edges), buckets.select("key", "sid", "n")
     for star in range(1, STARS + 1):
         known = left.select("key", "sid", "n").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        left = scratch.save(known.withColumn("low", F.min("comp").over(by_key)).withColumn("high", F.max("comp").over(by_key)).filter("low != high").select("key", "sid", "n", "comp"))
+        told = known.select("*", *[f(c).over(by_key).alias(to) for f, c, to in ((F.min, "comp", "low"), (F.max, "comp", "high"), (F.count, "sid", "m"), (F.min, "sid", "first"), (F.max, "sid", "last"))])
+        left = scratch.save(told.filter((F.col("low") != F.col("high")) & (F.col("m") > min(star + 1, 3))).drop("low", "high", "m"))
         if left.isEmpty():
             break
         if star < STARS:
-            centre = F.struct(F.xxhash64("sid", F.lit(star)).alias("dice"), "sid", "comp", "n")
-            pairs = left.withColumn("c", F.min(centre).over(by_key)).filter("comp != c.comp").filter(fits).select(*_pair("sid", "c.sid"))
+            draw = -F.col("sid").cast("decimal(20)") if star == 1 else F.xxhash64("sid", "key", F.lit(star)).cast("decimal(20)")
+            seen = left.withColumn("c", F.min(F.struct(draw.alias("draw"), "sid", "comp", "n")).over(by_key))
+            pairs = seen.filter("comp != c.comp").filter(fits).select(*_pair("sid", "c.sid"))
             pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
             tried, found = tried.union(pairs), links(pairs)
-        else:
-            p, q = (left.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(reps, x), x) for x in "ab")
+        else:  # the first and the last of a bucket have been held against all its others
+            rest = left.filter("sid != first AND sid != last")
+            p, q = (rest.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(reps, x), x) for x in "ab")
             rest = p.join(q, "key").filter("a < b AND comp_a != comp_b").filter(_close(num, den))
             rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
             found = _verified(scratch.save(rest), raw, reps, scratch, k, num, den)
