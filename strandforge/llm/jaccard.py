@@ -18,7 +18,7 @@ linked documents of n and m shingles is at most d = (n + m)(den - num)/(den + nu
   against the largest, then against drawn ones; sets of one component need no more comparison, and a bucket of three is
   done after two stars. What is left, sets of different components that share a bucket and weren't compared, is compared in full. So
   no link between components is lost, and groups of copies need a few comparisons a member. Equal sets are one node from the start.
-* Verify. Narrow sketches (4 to 1 bits a shingle) drop pairs whose Hamming distance is over d; what stays is counted exactly,
+* Verify. Narrow sketches (4 to 1 bits a shingle; in the last comparison 16 to 4) drop pairs whose Hamming distance is over d; what stays is counted exactly,
   from texts that a bitmap of bounded size (16 MB) picks before they are shuffled.
 
 A set's identity is a 64-bit digest of its members, a shingle's a 64-bit hash.
@@ -38,6 +38,7 @@ from .shared import GOLD, Scratch, cut, in_slices, mix, read, slice_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
 STARS = 4
+WIDE = 16
 #: Digests of sets that a task remembers, to emit equal sets once.
 REMEMBER = 1 << 18
 HOT, LEAST_HOT, WINDOW = 2_000_000, 4, 1 << 20
@@ -146,9 +147,9 @@ def block_keys(d: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int,
     return np.concatenate(docs), np.concatenate(keys).view(np.int64)
 
 
-def narrow(h: np.ndarray, band: int) -> list[int]:
-    """The parity sketch of 4 * 4**band bits, as 64-bit words."""
-    bits = max(64, 4 * 4**band)
+def narrow(h: np.ndarray, band: int, scale: int = 4) -> list[int]:
+    """The parity sketch of scale * 4**band bits, as 64-bit words."""
+    bits = max(64, scale * 4**band)
     at = ((mix(h ^ GOLD) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
     odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
@@ -236,6 +237,22 @@ def _sets(k: int):
     return of
 
 
+def _sketches(k: int, num: int, den: int, scale: int):
+    ints = pa.list_(pa.int64())
+
+    def of(batches):
+        for _, data, off in in_slices(batches, "text"):
+            d, h, n = shingle_sets(data, off, k)
+            at, band = np.append(0, np.cumsum(n)), np.searchsorted(_EDGES, n, "right")
+            more = list(bands(n, num, den))[1][0]
+            sets = [h[at[i] : at[i + 1]] for i in range(len(n))]
+            own = [narrow(x, int(b), scale) if len(x) else None for x, b in zip(sets, band)]
+            further = [narrow(x, int(b) + 1, scale) if m else None for x, b, m in zip(sets, band, more)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests(d, h, n)), pa.array(n), pa.array(band.astype(np.int32)), pa.array(own, ints), pa.array(further, ints)], ["sid", "n", "band", "own", "next"])
+
+    return of
+
+
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids. A bitmap drops nearly all others before the join shuffles texts."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS))
@@ -295,8 +312,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Words are runs of characters other than [\\x20\\x09-\\x0D], A-Z lower-cased. With fewer than k words the whole sequence is one
-    shingle. Null, empty and blank texts have no shingles and link with nothing. Rows with a null doc_id take part; a component
-    of such rows alone has a null component_id. Other columns aren't read."""
+    shingle. Null, empty and blank texts have no shingles and link with nothing. A set that only rows with a null doc_id have links with nothing but
+    itself, and its component_id is null. Other columns aren't read."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     nodes = scratch.save(raw.mapInArrow(_nodes(k, num, den), f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, {NODE}"))
@@ -345,7 +362,9 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             tried, found = tried.union(pairs), links(pairs)
         else:  # the first and the last of a bucket have been held against all its others
             rest = left.filter("sid != first AND sid != last")
-            p, q = (rest.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(reps, x), x) for x in "ab")
+            ids = scratch.save(reps.join(rest.select("sid").distinct(), "sid", "left_semi").select("doc_id"))
+            wide = scratch.save(_picked(raw, ids).select("text").mapInArrow(_sketches(k, num, den, WIDE), "sid long, n long, band int, own array<long>, next array<long>"))
+            p, q = (rest.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(wide, x), x) for x in "ab")
             rest = p.join(q, "key").filter("a < b AND comp_a != comp_b").filter(_close(num, den))
             rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
             found = _verified(scratch.save(rest), raw, reps, scratch, k, num, den)
