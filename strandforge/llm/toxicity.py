@@ -5,12 +5,13 @@ recurrent layers read windows of WINDOW words, one from either end; attention po
 half and cover the whole text. A text's score comes from its two highest logits and their number, by a logistic map fitted on texts
 that the network was not trained on.
 
-Training takes a bounded sample of the labelled rows (MOST of each label, by a hash of doc_id); only there the driver
-holds texts. Labels belong to texts, not to windows: after one pass over random windows, each pass trains on every text's highest window.
+Training takes a bounded sample of the labelled rows (MOST of each label, by a hash of doc_id, of up to LONGEST characters) to one task,
+which goes through it by slices; the driver gets the network only. Labels belong to texts, not to windows: after one pass over random windows, each pass trains on every text's highest window.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,10 +195,25 @@ def _adam(moment: list[np.ndarray], rows, grad: np.ndarray, step: int) -> np.nda
     return RATE * (moment[0][rows] / (1 - 0.9**step)) / (np.sqrt(moment[1][rows] / (1 - 0.999**step)) + 1e-8)
 
 
-def train(data: np.ndarray, off: np.ndarray, label: np.ndarray, share: float | None = None) -> dict[str, np.ndarray]:
+def _together(parts: list[Words]) -> Words:
+    """The words of several slices as one; a word that two slices have is there twice."""
+    shift = np.cumsum([0] + [len(w.word) for w in parts])
+    gather = lambda x: np.concatenate([np.zeros(0, np.int32), *x])
+    return Words(
+        gather([w.word.astype(np.int32) for w in parts]), gather([w.gram.astype(np.int32) for w in parts]), gather([w.grams.astype(np.int32) for w in parts]),
+        gather([(w.of + k).astype(np.int32) for w, k in zip(parts, shift)]), np.concatenate([np.zeros(0, np.int64), *[w.count for w in parts]]),
+    )
+
+
+def train(texts: list[bytes], label: np.ndarray, share: float | None = None) -> dict[str, np.ndarray]:
     """A network fitted to labelled texts. share: the share of label 1 where the scores will be used."""
     g = np.random.default_rng(SEED)
-    net, w = new_network(), words_of(data, off)
+    net, parts = new_network(), []
+    for at in range(0, len(texts), 200):
+        some = texts[at : at + 200]
+        parts.append(words_of(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0] + [len(t) for t in some], dtype=np.int64)))
+    all_logits = lambda: np.concatenate([np.zeros(0, np.float32), *[logits(net, p)[0] for p in parts]])
+    w = _together(parts)
     first, size, text = windows_of(w.count)
     texts = len(label)
     fit = g.random(texts) < 0.8
@@ -208,8 +224,7 @@ def train(data: np.ndarray, off: np.ndarray, label: np.ndarray, share: float | N
     step = 0
     for lap in range(PASSES if len(w.of) else 0):
         if lap:
-            z, _ = logits(net, w)
-            order = np.lexsort((-z, text))
+            order = np.lexsort((-all_logits(), text))
             chosen = order[at]
             second = order[at + np.minimum(g.integers(0, 3, texts), per - 1)]
         else:
@@ -236,8 +251,7 @@ def train(data: np.ndarray, off: np.ndarray, label: np.ndarray, share: float | N
                 net[k][rows] -= moved
             for k in grad:
                 net[k] -= _adam(moment[k], slice(None), grad[k].astype(np.float32), step)
-    z, _ = logits(net, w)
-    f = summary(z, text, texts)
+    f = summary(all_logits(), text, texts)
     held = ~fit if 0 < label[~fit].sum() < (~fit).sum() else np.ones(texts, bool)
     mean = float(label[held].mean()) if held.any() else 0.5
     share = mean if share is None else share
@@ -270,11 +284,16 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     picked = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in MOST.items()]
     ids = picked[0].union(picked[1])
     rows = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    sample = rows.toPandas().sort_values("doc_id")
-    texts = [t.encode() for t in sample["text"]]
-    off = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
     total = sum(size.values())
-    return train(np.frombuffer(b"".join(texts), np.uint8), off.astype(np.int64), sample["label"].to_numpy(np.float64), size.get(1, 0) / total if total else None)
+    share = size.get(1, 0) / total if total else None
+
+    def fit(batches):
+        sample = sorted(x for b in batches for x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("label").to_pylist()))
+        net = train([t.encode() for _, t, _ in sample], np.array([y for _, _, y in sample], np.float64), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    found = rows.repartition(1).mapInArrow(fit, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else train([], np.zeros(0), share)
 
 
 def toxicity(docs: DataFrame, net: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
