@@ -18,15 +18,15 @@ def paths(nodes: DataFrame) -> DataFrame:
     up = F.when(F.col("known") & (F.col("parent") != F.col("taxid")), F.col("parent"))
     now = cut(rows.select("taxid", F.array("taxid").alias("path"), up.alias("next")))
     while not now.filter("next IS NOT NULL").isEmpty():
-        above = now.select(F.col("taxid").alias("next"), F.col("path").alias("more"), F.col("next").alias("after"))
-        joined = now.join(above, "next", "left")
-        new = F.filter("more", lambda x: ~F.array_contains("path", x))
+        above = now.toDF("above", "more", "after")
+        joined = now.join(above, F.col("next") == F.col("above"), "left")
+        new = F.array_except("more", "path")
         loops = F.size(new) < F.size("more")
         now = cut(
             joined.select(
                 "taxid",
                 F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", new)).alias("path"),
-                F.when(F.col("more").isNotNull() & ~loops & ~F.array_contains("path", F.coalesce("after", F.lit(-1))), F.col("after")).alias("next"),
+                F.when(F.col("after").isNotNull() & ~loops & ~F.array_contains("path", F.col("after")), F.col("after")).alias("next"),
             )
         )
     return now.select("taxid", "path")

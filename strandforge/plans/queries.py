@@ -166,9 +166,10 @@ def easysearch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_Q}, {_windows('qw', 'q', 'item_id', seeds.Seed.contiguous(3))}, k AS (SELECT DISTINCT code FROM qw), "
-    f"r AS (SELECT a, b, {_MATRIX}[a * 21 + b + 1] AS s, row_number() OVER (PARTITION BY a ORDER BY {_MATRIX}[a * 21 + b + 1] DESC, b) AS r FROM range(20) x(a), range(20) y(b)), "
-    "w AS (SELECT code, (x.b * 20 + y.b) * 20 + z.b AS neighbour, x.s + y.s + z.s AS score, x.r AS r1, y.r AS r2, z.r AS r3 "
-    "FROM k JOIN r x ON x.a = code // 400 JOIN r y ON y.a = code // 20 % 20 JOIN r z ON z.a = code % 20 WHERE x.s + y.s + z.s >= 12) "
+    f"r AS MATERIALIZED (SELECT a, b, {_MATRIX}[a * 21 + b + 1] AS s, row_number() OVER (PARTITION BY a ORDER BY {_MATRIX}[a * 21 + b + 1] DESC, b) AS r FROM range(20) x(a), range(20) y(b)), "
+    "w1 AS MATERIALIZED (SELECT code, b AS n1, s AS s1, r AS r1 FROM k JOIN r ON r.a = code // 400), "
+    "w2 AS MATERIALIZED (SELECT code, n1 * 20 + b AS n2, s1 + s AS s2, r1, r AS r2 FROM w1 JOIN r ON r.a = code // 20 % 20), "
+    "w AS MATERIALIZED (SELECT code, n2 * 20 + b AS neighbour, s2 + s AS score, r1, r2, r AS r3 FROM w2 JOIN r ON r.a = code % 20 WHERE s2 + s >= 12) "
     "SELECT code, neighbour, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, r1, r2, r3) AS rank FROM w) WHERE rank <= 50"
 )
 def similar_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +417,7 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.running(_ranked_hits(spark, sf_dir))
 
 
-@query(f"WITH {_EVAL}, m AS (SELECT *, max(score) FILTER (verdict = 'fp') OVER (PARTITION BY query) AS best FROM hits) SELECT query, count(*) FILTER (verdict = 'tp' AND (best IS NULL OR score > best)) AS found, count(*) FILTER (verdict = 'tp') AS possible FROM m GROUP BY query")
+@query(f"WITH {_EVAL}, mx AS (SELECT *, max(score) FILTER (verdict = 'fp') OVER (PARTITION BY query) AS best FROM hits) SELECT query, count(*) FILTER (verdict = 'tp' AND (best IS NULL OR score > best)) AS found, count(*) FILTER (verdict = 'tp') AS possible FROM mx GROUP BY query")
 def eval_first_false(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.before_first_false(_ranked_hits(spark, sf_dir))
 
