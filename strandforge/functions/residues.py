@@ -123,19 +123,22 @@ def codon_letter(codon: Column) -> Column:
     return F.when(known, F.substring(F.lit(CODONS), place[0] * 16 + place[1] * 4 + place[2] + 1, F.lit(1))).otherwise("X")
 
 
-def translated(nt: Column, frame: Column) -> Column:
-    """The residues of a strand read from base `frame` (0, 1, 2)."""
-    count = F.floor((F.length(nt) - frame) / 3).cast("int")
-    bases = F.split(F.translate(F.upper(nt), "U", "T"), "")
-    place = F.transform(bases, lambda b: F.instr(F.lit("TCAG"), b) - 1)
-    at = lambda p, i: F.get(p, i)
-
-    def one(p: Column, k: Column) -> Column:
-        a, b, c = (at(p, frame + k * 3 + j) for j in range(3))
+def base_codes(nt: Column) -> Column:
+    """The places of a strand's bases in T, C, A, G, from 0; -1 for anything else."""
+    return F.transform(F.split(F.translate(F.upper(nt), "U", "T"), ""), lambda b: F.instr(F.lit("TCAG"), b) - 1)
+
+
+def translated(places: Column, frame: Column) -> Column:
+    """The residues of a strand read from base `frame` (0, 1, 2). places: a column of base_codes(), not an expression, which would be worked
+    out again for each codon."""
+    count = F.floor((F.size(places) - frame) / 3).cast("int")
+
+    def one(k: Column) -> Column:
+        a, b, c = (F.get(places, frame + k * 3 + j) for j in range(3))
         return F.when((a >= 0) & (b >= 0) & (c >= 0), F.substring(F.lit(CODONS), a * 16 + b * 4 + c + 1, F.lit(1))).otherwise("X")
 
     empty = F.array().cast("array<string>")
-    return F.array_join(F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: one(place, k))).otherwise(empty), "")
+    return F.array_join(F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(empty), "")
 
 
 def looks_nucleotide(seq: Column) -> Column:

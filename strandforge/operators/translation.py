@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.residues import reverse_complement, translated
+from ..functions.residues import base_codes, reverse_complement, translated
 
 
 def frames(nucleotides: DataFrame, key: str, nt: str = "nt") -> DataFrame:
     """key, frame (1, 2, 3, -1, -2, -3), aa, nt_len. The reverse strand is complemented once, not once a frame."""
     both = nucleotides.select(key, F.length(nt).alias("nt_len"), F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.upper(nt).alias("strand")), F.struct(F.lit(-1).alias("sign"), reverse_complement(F.col(nt)).alias("strand")))).alias("s"))
-    each = both.select(key, "nt_len", "s.sign", "s.strand", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("shift"))
+    strands = both.filter("nt_len > 0").select(key, "nt_len", "s.sign", base_codes(F.col("s.strand")).alias("strand"))
+    each = strands.select(key, "nt_len", "sign", "strand", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("shift"))
     return each.select(key, "nt_len", (F.col("sign") * (F.col("shift") + 1)).alias("frame"), translated(F.col("strand"), F.col("shift")).alias("aa"))
 
 

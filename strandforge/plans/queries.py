@@ -152,11 +152,6 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.rounded(plan.search(v.queries(spark, sf_dir), v.targets(spark, sf_dir), "item_id", "doc_id"))
 
 
-@query()
-def search_m8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.m8(plan.search(v.queries(spark, sf_dir), v.targets(spark, sf_dir), "item_id", "doc_id", min_qcov=0.5), "item_id", "doc_id")
-
-
 @query()
 def easysearch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item against every other, without a prefilter."""
