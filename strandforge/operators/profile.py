@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.residues import ALPHABET, BACKGROUND, conditional
+from ..plans.session import cut
 
 PCA, PCB = 1.0, 1.5
 
@@ -86,14 +87,19 @@ def profile(msa: DataFrame, pca: float = PCA, pcb: float = PCB, bias: float = 0.
 
 
 def column_scores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The score of each place of one profile against each of another: eight times the log-odds of giving the same residue, within ±128/127."""
-    bg = background(left.sparkSession)
-    a = left.select(F.col("msa").alias("left_msa"), F.col("pos").alias("left_pos"), "code", F.col("prob").alias("p"))
-    b = right.select(F.col("msa").alias("right_msa"), F.col("pos").alias("right_pos"), "code", F.col("prob").alias("q"))
-    joint = a.join(F.broadcast(bg), "code").join(b, "code").groupBy("left_msa", "left_pos", "right_msa", "right_pos")
-    total = joint.agg(F.sum(F.col("p") * F.col("q") / F.greatest("background", F.lit(1e-6))).alias("s"))
-    value = F.round(8 * F.log2(F.greatest("s", F.lit(1e-6))))
-    return total.select("left_msa", "left_pos", "right_msa", "right_pos", F.greatest(F.lit(-128.0), F.least(F.lit(127.0), value)).cast("int").alias("score"))
+    """The score of each place of one profile against each of another: eight times the log-odds of giving the same residue, within ±128/127.
+
+    A place is one row with its twenty probabilities, so a pair of places is one row of a cross join and nothing is shuffled by pair."""
+
+    def wide(p: DataFrame, side: str, x: str) -> DataFrame:
+        each = [F.coalesce(F.sum(F.when(F.col("code") == k, F.col("prob"))), F.lit(0.0)).alias(f"{x}{k}") for k in range(20)]
+        return p.groupBy(F.col("msa").alias(f"{side}_msa"), F.col("pos").alias(f"{side}_pos")).agg(*each)
+
+    a = cut(wide(left, "left", "p").repartition(256, "left_msa", "left_pos"))
+    b = cut(wide(right, "right", "q"))
+    total = sum((F.col(f"p{k}") * F.col(f"q{k}") / F.lit(max(p, 1e-6)) for k, p in enumerate(BACKGROUND)), F.lit(0.0))
+    value = F.round(8 * F.log2(F.greatest(total, F.lit(1e-6))))
+    return a.crossJoin(b).select("left_msa", "left_pos", "right_msa", "right_pos", F.greatest(F.lit(-128.0), F.least(F.lit(127.0), value)).cast("int").alias("score"))
 
 
 assert math.isclose(sum(BACKGROUND), 1.0, abs_tol=1e-3)

@@ -337,7 +337,7 @@ def pssm(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM pssm a JOIN pssm b ON a.code = b.code AND a.msa < b.msa JOIN bg ON bg.code = a.code GROUP BY ALL"
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profile(v.msa(spark, sf_dir))
+    p = cut(profile.profile(v.msa(spark, sf_dir)))
     return _as_long(profile.column_scores(p, p).filter("left_msa < right_msa"))
 
 

@@ -10,6 +10,7 @@ from .session import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
+#: What the SQL of the profile queries still reads of each document; nothing else uses it.
 COLUMNS = 60
 
 
@@ -30,9 +31,11 @@ def nucleotides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An alignment for each language: the first COLUMNS letters of all its documents; what is shorter ends in gaps."""
-    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("msa"), F.col("doc_id").alias("row"), codes(F.substring(residues_of(F.col("text")), 1, COLUMNS)).alias("c"))
-    place = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: F.coalesce(F.get("c", i), F.lit(-1)))
+    """An alignment for each language: all letters of all its documents, as many columns as its longest row has and one at least.
+
+    The gaps after a shorter row's end add nothing to any profile, so they aren't made; a row without letters is one gap."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("msa"), F.col("doc_id").alias("row"), residues_of(F.col("text")).alias("seq"))
+    place = F.when(F.col("seq") == "", F.array(F.lit(-1))).otherwise(codes(F.col("seq")))
     return docs.select("msa", "row", F.posexplode(place).alias("pos", "code"))
 
 
