@@ -96,7 +96,7 @@ def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_T}, {_Q}, {_windows('tw', 't', 'doc_id')}, {_windows('qw', 'q', 'item_id')}, k AS (SELECT code FROM tw GROUP BY code HAVING count(*) <= 100) SELECT item_id, count(*) AS present FROM qw SEMI JOIN k USING (code) GROUP BY item_id")
 def seed_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = seeds.index(v.targets(spark, sf_dir), "doc_id").filter("postings <= 100")
+    codes = seeds.windows(v.targets(spark, sf_dir), "doc_id").select("code").distinct()
     return seeds.windows(v.queries(spark, sf_dir), "item_id").join(codes, "code", "left_semi").groupBy("item_id").agg(F.count("*").alias("present"))
 
 

@@ -66,3 +66,10 @@ def test_profile_columns_pairs_all_places(spark, folder):
     for (a, b), score in got.items():
         exact = 8 * math.log2(max(sum(x * y / max(g, 1e-6) for x, y, g in zip(prob[a], prob[b], rs.BACKGROUND)), 1e-6))
         assert abs(max(-128, min(127, exact)) - score) <= 0.5 + 1e-6
+
+
+def test_frequent_seeds_are_present(spark, tmp_path):
+    """A seed at more than a hundred places is as present as any other."""
+    spark.createDataFrame([(i, "MKVLLACDEFGH") for i in range(101)] + [(200, "WWYYWWYYWWYY")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "MKVLLACDEFGHWWYYWWYYW"), (2, "WWYYWWYYW"), (3, "QRSTQRSTQRST")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["item_id"]: r["present"] for r in QUERIES["seed_presence"](spark, str(tmp_path)).collect()} == {1: 5, 2: 1}
