@@ -4,10 +4,13 @@ One pattern finds the entities; each distinct entity gets one surrogate for the
 thing (coreference). A surrogate follows from a key, the kind, the entity and an attempt number, and keeps kind, length,
 punctuation, letter case and script; card numbers keep the validity of their check digit, names the gender and script of a title. Rounds of
 collision checks keep entities distinct: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again.
+After SHAPED draws of an entity's own length each draw is a character longer than the one before, so a full shape is left behind.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from .shared import Scratch, read
 from .spans import spans
 
 KEY = "a key that the caller should set"
-ROUNDS = 60
+SHAPED = 8
 
 # What is looked for, in order of precedence, and the names that stand in.
 PATTERNS = {
@@ -71,6 +74,11 @@ def _letters(entity: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
+def _more(seed: Column, n: int, of: str) -> Column:
+    """n drawn characters."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.lit(of), _draw(F.concat(seed, F.lit("more")), i, len(of)) + 1, F.lit(1))), "") if n else F.lit("")
+
+
 def _odd_sum(entity: Column) -> Column:
     """The sum that a valid card number has divisible by ten."""
     ds = F.split(F.reverse(F.regexp_replace(entity, "[^0-9]", "")), "")
@@ -82,19 +90,21 @@ def _odd_sum(entity: Column) -> Column:
     return F.aggregate(F.transform(F.filter(ds, lambda c: c != ""), part), F.lit(0), lambda s, x: s + x)
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string")).cast("binary"), 256)
-    plain = _letters(entity, seed)
+def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, F.lit(str(attempt))).cast("binary"), 256)
+    longer = max(0, attempt + 1 - SHAPED)
+    plain = F.concat(_letters(entity, seed), _more(seed, longer, DIGITS))
     at = F.instr(entity, "@")
     host = F.substring_index(entity, "@", -1)
-    email = F.concat(_letters(F.substring(entity, F.lit(1), at - 1), seed), F.lit("@"), F.concat(_letters(F.substring_index(host, ".", 1), F.concat(seed, F.lit("host"))), F.substring(host, F.length(F.substring_index(host, ".", 1)) + 1, F.length(host))))
+    email = F.concat(_more(seed, longer, SMALL), _letters(F.substring(entity, F.lit(1), at - 1), seed), F.lit("@"), F.concat(_letters(F.substring_index(host, ".", 1), F.concat(seed, F.lit("host"))), F.substring(host, F.length(F.substring_index(host, ".", 1)) + 1, F.length(host))))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
+    ip = F.concat(ip, _more(seed, longer, DIGITS))
     # the last digit of a card moves by what makes the drawn number as valid as the entity
     off = F.pmod(_odd_sum(entity) - _odd_sum(plain), F.lit(10))
     last = F.pmod(F.substring(plain, -1, 1).cast("int") + off, F.lit(10)).cast("string")
     card = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), last)
     words = F.split(entity, " ")
-    title, count = F.element_at(words, 1), F.size(words)
+    title, parts = F.element_at(words, 1), F.size(words)
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(entity.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
     woman = title.isin(FEMALE_TITLES)
     name = None
@@ -105,19 +115,23 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         first = F.element_at(F.array(*map(F.lit, names)), _draw(seed, F.lit(0), len(names)) + 1)
         # a few hundred pairs of names don't keep many people apart, so a drawn ending of letters follows the family name
         ending = F.lower(_letters(F.lit("aaa"), seed)) if of == "Latin" else F.translate(F.substring(seed, 1, 3), "0123456789abcdef", "абвгдежзиклмнопр" if of == "Cyrillic" else "αβγδεζηθικλμνοπρ")
+        ending = F.concat(ending, _more(seed, longer, SMALL if of == "Latin" else "абвгдежзиклмнопр" if of == "Cyrillic" else "αβγδεζηθικλμνοπρ"))
         family = F.concat(F.element_at(F.array(*map(F.lit, last_names)), _draw(seed, F.lit(1), len(last_names)) + 1), ending)
-        told = F.when(count > 2, F.concat_ws(" ", title, first, family)).otherwise(F.concat_ws(" ", title, family))
+        told = F.when(parts > 2, F.concat_ws(" ", title, first, family)).otherwise(F.concat_ws(" ", title, family))
         here = (script == of) & (woman if sort == "f" else ~woman)
         name = F.when(here, told) if name is None else name.when(here, told)
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name).otherwise(plain)
 
 
 def surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """kind, entity, surrogate: one row for each of the distinct (kind, entity), no two surrogates of a kind alike, none an entity."""
+    """kind, entity, surrogate: one row for each of the distinct (kind, entity), no two surrogates of a kind alike, none an entity.
+
+    Rounds go on until all have one. They end: once draws are longer than all entities and earlier surrogates, each round settles one
+    entity at least, and nearly all as soon as there are more strings of the drawn length than entities."""
     entities = scratch.save(entities.select("kind", "entity").distinct())
     done, waiting = None, entities
-    for attempt in range(ROUNDS):
-        drawn = waiting.select("kind", "entity", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key).alias("surrogate"))
+    for attempt in count():
+        drawn = waiting.select("kind", "entity", surrogate(F.col("kind"), F.col("entity"), attempt, key).alias("surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         free = first.join(entities.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -127,7 +141,6 @@ def surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         waiting = scratch.save(waiting.join(got.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         if waiting.isEmpty():
             return done
-    raise ValueError(f"no free surrogates after {ROUNDS} draws")
 
 
 def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
