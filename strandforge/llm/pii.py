@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
-One pattern finds the entities; each distinct entity gets one surrogate for the whole corpus, so mentions still refer to one
-thing (coreference). A surrogate follows from a key, the kind, the entity and an attempt number, and keeps kind, length,
+One pattern finds the entities; each gets one surrogate for the whole corpus, whatever form its mentions have, so they still refer to
+one thing (coreference): letter case of addresses, blanks and punctuation of numbers, titles, and a family name alone after a full name
+in one text; each mention keeps its own form. A surrogate follows from a key, the kind, the entity and an attempt number, and keeps kind, length,
 punctuation, letter case and script; card numbers keep the validity of their check digit, names the gender and script of a title. Rounds of
 collision checks keep entities distinct: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again.
 After SHAPED draws of an entity's own length each draw is a character longer than the one before, so a full shape is left behind.
@@ -105,7 +106,7 @@ def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
     card = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), last)
     words = F.split(entity, " ")
     title, parts = F.element_at(words, 1), F.size(words)
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(entity.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
+    script = _script(entity)
     woman = title.isin(FEMALE_TITLES)
     name = None
     for (of, sort), names in NAMES.items():
@@ -143,11 +144,53 @@ def surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
             return done
 
 
+def _script(entity: Column) -> Column:
+    return F.when(entity.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(entity.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
+
+
+def canonical(kind: Column, entity: Column) -> Column:
+    """What all forms of an entity have in common, itself an entity of its kind: an address in small letters, an IBAN, a card or phone
+    number without blanks and punctuation (but a leading +), a name with one title for each gender and script."""
+    woman = F.substring_index(entity, " ", 1).isin(FEMALE_TITLES)
+    title = F.when(_script(entity) == "Cyrillic", F.when(woman, "госпожа").otherwise("господин")).when(_script(entity) == "Greek", F.when(woman, "Κυρία").otherwise("Κύριος")).otherwise(F.when(woman, "Mrs").otherwise("Mr"))
+    digits = F.concat(F.regexp_extract(entity, r"^\+?", 0), F.regexp_replace(entity, "[^0-9]", ""))
+    return (
+        F.when(kind == "email", F.lower(entity)).when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind.isin("card", "phone"), digits)
+        .when(kind == "name", F.concat_ws(" ", title, F.substring(entity, F.instr(entity, " ") + 1, F.length(entity)))).otherwise(entity)
+    )
+
+
+def rendered(kind: Column, entity: Column, surrogate: Column) -> Column:
+    """The surrogate of canonical(entity) in the entity's own format."""
+    over = F.length(surrogate) - F.length(entity)
+    email = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.substring(entity, i - over + 1, F.lit(1)).rlike("^[A-Z]$") & (i >= over), F.upper(c)).otherwise(c)), "")
+    # digits (and an IBAN's letters) go into the entity's places one after another, what a longer draw has besides to the end
+    signs = F.regexp_replace(surrogate, "[^0-9A-Z]", "")
+    before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), "[^0-9A-Z]", ""))
+    put = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9A-Z]$"), F.substring(signs, before(i) + 1, F.lit(1))).otherwise(c))
+    placed = F.concat(F.array_join(put, ""), F.substring(signs, before(F.length(entity)) + 1, F.length(signs)))
+    words = F.split(surrogate, " ")
+    given = F.when(F.size(F.split(entity, " ")) > 2, F.slice(words, 2, 2)).otherwise(F.slice(words, -1, 1))
+    name = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(given, " "))
+    return F.when(kind == "email", email).when(kind.isin("iban", "card", "phone"), placed).when(kind == "name", name).otherwise(surrogate)
+
+
+def corefer(mentions: DataFrame) -> DataFrame:
+    """row, i, kind, entity and what it is: one value for all mentions of a thing. A title and family name is the full name of that
+    title's gender and script that its row has, if it has just one."""
+    told = mentions.withColumn("is", canonical(F.col("kind"), F.col("entity")))
+    words = F.split("is", " ")
+    short = F.when((F.col("kind") == "name") & (F.size(words) > 2), F.concat_ws(" ", words[0], F.element_at(words, -1)))
+    full = told.withColumn("short", short).filter("short IS NOT NULL").groupBy("row", "short").agg(F.min("is").alias("full"), F.max("is").alias("other")).filter(F.col("full") == F.col("other"))
+    family = told.join(full.select("row", F.col("short").alias("is"), "full", F.lit("name").alias("kind")), ["row", "kind", "is"], "left")
+    return family.select("row", "i", "kind", "entity", F.coalesce("full", "is").alias("is"))
+
+
 def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
     """One row for each row of docs: doc_id, text with surrogates, entities: (kind, start, end, value) in the old text's code points.
 
     Null text stays null and has no entities; rows that repeat a doc_id are rows of their own, the same entity has the same
-    surrogate in all; other columns aren't read. An entity at several places, in however many rows, is one entity."""
+    surrogate, in the mention's format, in all; other columns aren't read. An entity at several places, in however many rows, is one entity."""
     scratch = Scratch(docs.sparkSession)
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     found = spans(F.coalesce("text", F.lit("")), ANY, "")
@@ -155,8 +198,10 @@ def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     scanned = raw.withColumn("found", found)
     some = scratch.save(scanned.filter(F.size("found") > 0).withColumn("entities", marked).select("row", "doc_id", "text", "entities"))
     mentions = some.select("row", F.posexplode("entities").alias("i", "s")).select("row", "i", "s.kind", F.col("s.value").alias("entity"))
-    chosen = surrogates(mentions, key, scratch)
-    new = mentions.join(chosen, ["kind", "entity"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("new"))
+    mentions = scratch.save(corefer(mentions))
+    chosen = surrogates(mentions.select("kind", F.col("is").alias("entity")), key, scratch).select("kind", F.col("entity").alias("is"), "surrogate")
+    put = mentions.join(chosen, ["kind", "is"]).select("row", "i", rendered(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("surrogate"))
+    new = put.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("new"))
     gaps = F.split("text", ANY, -1)
     pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.transform("new", lambda x: x["surrogate"]).alias("put")), lambda x: F.concat(x["gap"], F.coalesce(x["put"], F.lit(""))))
     written = some.join(new, "row").select("doc_id", F.array_join(pieces, "").alias("text"), "entities")

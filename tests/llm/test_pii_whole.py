@@ -14,3 +14,23 @@ def test_full_shapes_end(spark):
     assert len(got) == len(many) and len({(r["kind"], r["surrogate"]) for r in got}) == len(many)
     assert not {(r["kind"], r["surrogate"]) for r in got} & set(many)
     assert all(r["surrogate"].split("@")[1][1:] == r["entity"].split("@")[1][1:] for r in got if r["kind"] == "email")
+
+
+def test_mentions_of_one_thing(spark):
+    said = [
+        ["Mr. John Smith", "Mr John Smith", "Mr. Smith"], ["Jo@x.com", "jo@X.com"], ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["+1 (017) 555-7713", "+1 017 555 7713"], ["Frau Anna Berger", "Frau Berger"], ["Mr. Paul Jones", "Mr. Mark Jones", "Mr. Jones"],
+    ]
+    flat = [m for group in said for m in group]
+    got = pii.pseudonymised(spark.createDataFrame([(0, "; ".join(flat)), (1, "x Mr Smith; jo@x.com")], "doc_id long, text string")).collect()
+    out = {r["doc_id"]: r["text"] for r in got}
+    john, john2, smith, jo, jo2, c1, c2, c3, i1, i2, p1, p2, anna, berger, paul, mark, jones = new = out[0].split("; ")
+    assert not set(new) & set(flat)
+    plain = lambda x: "".join(c for c in x if c.isalnum())
+    assert john.startswith("Mr. ") and john2 == john.replace("Mr.", "Mr") and smith == "Mr. " + john.split()[-1]
+    assert jo.lower() == jo2.lower() and jo[0].isupper() and jo2[3].isupper() and out[1].split("; ")[1] == jo.lower()
+    assert plain(c1) == plain(c2) == plain(c3) and c1[4] == " " and c3[4] == "-" and len(c2) == 16
+    assert plain(i1) == plain(i2) and [len(x) for x in i1.split()] == [4, 4, 4, 4, 4, 2]
+    assert plain(p1) == plain(p2) and p1[3] == "(" and p2[0] == "+"
+    assert berger.split()[-1] == anna.split()[-1] and len({paul.split()[-1], mark.split()[-1], jones.split()[-1]}) == 3
+    assert out[1].split("; ")[0] != "x " + john2.replace(john2.split()[1] + " ", "")
