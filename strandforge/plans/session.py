@@ -26,9 +26,14 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else one for local runs."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, else one for runs on a single machine. A cluster
+    without that setting is an error, since its machines don't share their own folders."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
@@ -47,9 +52,10 @@ class Scratch:
         self.spark, self.at = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame) -> DataFrame:
+        """df written and read again; its schema is known, so reading needs no job."""
         path = f"{self.at}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
