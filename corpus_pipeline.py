@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandforge.llm import bpe, decontaminate, exact_dedup, jaccard, toxicity
-from strandforge.llm.shared import Scratch, read
+from strandforge.llm.shared import Scratch, cut, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,10 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on documents. The stages' tables stay in the shared folder until the session's user drops them."""
+    """The result of all stages on documents. The stages' tables lie in the shared folder while it runs, and its own rows as a checkpoint."""
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    docs = cut(STAGES[-1][1](spark, docs, sf_dir))
+    scratch.drop()
     return docs

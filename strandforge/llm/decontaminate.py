@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's n-word windows form a table of (size, digest, words, items). While it is under a stated size, its digests
-become a hash set in the plan and the table itself is broadcast; beyond that size the same look-up runs as a shuffle
-join. Documents are cut into words once; every window of a size that the benchmark has is digested and looked up within
-the row, so that only hits become rows, and hits are verified word by word.
+The benchmark's n-word windows become a hash set, buckets of (digests; words, items), which Spark hands to all tasks with the plan. Every
+document is cut into words once; each of its windows is digested, looked up in its bucket, and a hit is compared word by word with the bucket's windows. All
+this happens within the document's row, so no window becomes a row and no document is shuffled or joined. A set of more than
+MOST_BYTES is used in parts of about that size, one pass over the documents each, with the same plan.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import Scratch, cut, read
 
 N = 10
-#: The windows are broadcast only up to so many; each takes about 200 bytes.
-MOST_BROADCAST = 200_000
+#: Bytes of windows that one pass hands to all tasks (the driver sees them once).
+MOST_BYTES = 32 << 20
 
 #: What separates words: every ASCII character but digits and letters.
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,67 +37,70 @@ def windows(items: DataFrame, n: int, item_id: str, text: str) -> DataFrame:
     return each.groupBy("size", "words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("digest", F.xxhash64("words"))
 
 
-def _at(size: int) -> Column:
-    """The places, from 1, at which a window of this size begins."""
-    last = F.size("w") - (size - 1)
-    return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+def _set(part: DataFrame, buckets: int) -> DataFrame:
+    """One row with the hash set of these windows: d, the digests of each bucket, and e, its (words, items)."""
+    held = part.groupBy(F.pmod("digest", F.lit(buckets)).alias("b")).agg(F.collect_list("digest").alias("d"), F.collect_list(F.struct("words", "items")).alias("e"))
+    all_of = part.sparkSession.range(buckets).join(held, F.col("id") == F.col("b"), "left").agg(F.array_sort(F.collect_list(F.struct("id", "d", "e"))).alias("s"))
+    return all_of.select(F.struct(F.transform("s", lambda x: x["d"]).alias("d"), F.transform("s", lambda x: x["e"]).alias("e")).alias("set"))
 
 
-def _digest(at: Column, size: int) -> Column:
-    return F.xxhash64(F.slice("w", at, size))
+def _hits_in(held: Column, sizes: list[int], buckets: int) -> Column:
+    """(at, size, items) of the windows of column w, from place 1, that the set has."""
+    bucket = lambda of, d: F.get(of, F.pmod(d, F.lit(buckets)).cast("int"))
 
+    def of_size(z: Column, size: int) -> Column:
+        window = lambda i: F.slice("w", i, size)
+        last = F.size("w") - (size - 1)
+        places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        likely = F.filter(places, lambda i: F.exists(F.array(F.xxhash64(window(i))), lambda d: F.array_contains(bucket(z["d"], d), d)))
+        same = lambda i: F.filter(bucket(z["e"], F.xxhash64(window(i))), lambda x: x["words"] == window(i))
+        found = F.transform(likely, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.flatten(F.transform(same(i), lambda x: x["items"])).alias("items")))
+        return F.filter(found, lambda x: F.size(x["items"]) > 0)
 
-def _found(size: int, digests: list[int]) -> Column:
-    """(at, size) of the windows of this size whose digest is one of these."""
-    here = F.filter(_at(size), lambda i: _digest(i, size).isin(digests))
-    return F.transform(here, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
+    # the set is bound once: a plan that named it twice would copy it into every row
+    return F.get(F.transform(F.array(held), lambda z: F.concat(*[of_size(z, s) for s in sizes])), F.lit(0))
 
 
-def _all(size: int) -> Column:
-    """(at, size, digest) of all windows of this size."""
-    return F.transform(_at(size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _digest(i, size).alias("digest")))
-
-
-def hits(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = MOST_BROADCAST) -> DataFrame:
+def marked(docs: DataFrame, items: DataFrame, n: int, text: str, item_id: str, item_text: str, most: int) -> DataFrame:
+    """docs with w, the words of each row, and found, the places where windows of items occur."""
+    win = cut(windows(items, n, item_id, item_text))
+    sizes = sorted(r["size"] for r in win.select("size").distinct().collect())  # n values at most
+    none = F.array().cast(f"array<struct<at:int,size:int,items:{win.schema['items'].dataType.simpleString()}>>")
+    # filters stay above this one (a row's number isn't known before), else the words would be made anew for each window
+    rows = docs.select("*", words(F.col(text)).alias("w"), F.monotonically_increasing_id().alias("here")).filter("here >= 0").drop("here")
+    if not sizes:
+        return rows.withColumn("found", none)
+    count, size = win.agg(F.count("*"), F.sum(16 + F.octet_length(F.array_join("words", " ")) + 16 * F.size("items"))).first()
+    parts = -(-size // most)
+    buckets = 1 << max(0, count // parts).bit_length()
+    for k in range(parts):
+        part = win.filter(F.pmod(F.shiftright("digest", 32), F.lit(parts)) == k)
+        found = _hits_in(F.col("set"), sizes, buckets)
+        rows = rows.select("*", _set(part, buckets).scalar().alias("set")).withColumn("now", found).drop("set")
+        rows = rows.withColumn("found", F.concat("found", "now") if k else F.col("now")).drop("now")
+        if parts > 1:
+            rows = Scratch(docs.sparkSession).save(rows)
+    return rows
+
+
+def hits(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = MOST_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, text, n_words, n_hit (words inside windows that occur), items (ids of the items whose
     windows occur, sorted as strings), covered (the places of the hit words, from 1).
 
     An item of fewer than n words, but not none, is one window. Items and documents that are null or have no words give no
-    hits; rows that repeat a doc_id are rows of their own. Only the named columns are read, so other names can't clash."""
-    win = cut(windows(items, n, item_id, item_text))
-    sizes = [r["size"] for r in win.select("size").distinct().collect()]  # n values at most
+    hits; rows that repeat a doc_id, or have none, are rows of their own. Only the named columns are read, so other names can't clash."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = plain.withColumn("w", words(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
-    if win.count() <= most:
-        digests: dict[int, list[int]] = {s: [] for s in sizes}
-        for r in win.select("size", "digest").distinct().collect():
-            digests[r["size"]].append(r["digest"])
-        places = [_found(s, digests[s]) for s in sizes]
-        found = F.concat(*places) if places else F.array().cast("array<struct<at:int,size:int>>")
-        each = rows.select("doc_id", "text", "row", "w", F.explode_outer(found).alias("x"))
-        each = each.select("doc_id", "text", "row", F.size("w").alias("n_words"), "x.at", "x.size", F.slice("w", F.coalesce("x.at", F.lit(1)), F.coalesce("x.size", F.lit(0))).alias("words"))
-        hit = each.withColumn("digest", F.xxhash64("words")).join(F.broadcast(win), ["size", "digest", "words"], "left")
-    else:
-        every = F.concat(*[_all(s) for s in sizes])
-        each = rows.select("row", F.explode(every).alias("x")).select("row", "x.*")
-        likely = each.join(win.select("size", "digest").distinct(), ["size", "digest"], "left_semi")
-        placed = rows.join(likely, "row", "left")
-        placed = placed.select("doc_id", "text", "row", F.size("w").alias("n_words"), "at", "size", "digest", F.slice("w", F.coalesce("at", F.lit(1)), F.coalesce("size", F.lit(0))).alias("words"))
-        hit = placed.join(win, ["size", "digest", "words"], "left")
-    here = F.when(F.col("items").isNotNull(), F.sequence("at", F.col("at") + F.col("size") - 1))
-    return (
-        hit.groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.flatten(F.collect_set(here)).alias("at"), F.flatten(F.collect_set("items")).alias("i"))
-        .select("doc_id", "text", "n_words", F.array_distinct("at").alias("covered"), F.array_sort(F.array_distinct(F.transform("i", lambda x: x.cast("string")))).alias("items"))
-        .withColumn("n_hit", F.size("covered"))
-    )
+    rows = marked(plain, items, n, "text", item_id, item_text, most)
+    covered = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
+    ids = F.aggregate("found", F.array().cast("array<string>"), lambda s, x: F.array_union(s, F.transform(x["items"], lambda y: y.cast("string"))))
+    return rows.select("doc_id", "text", F.size("w").alias("n_words"), covered.alias("covered"), F.array_sort(ids).alias("items")).withColumn("n_hit", F.size("covered"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs in which no window of an item occurs. doc_id must be unique where it isn't null."""
-    found = hits(docs, items, n, doc_id, text).filter("n_hit > 0").select(F.col("doc_id").alias("__drop"))
-    bad = cut(found)
-    return docs.join(bad, docs[doc_id] == bad["__drop"], "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, n: int = N, text: str = "text", most: int = MOST_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs. Each row is judged by itself, so ids don't matter."""
+    held = docs.select(F.struct("*").alias("whole"), F.col(text).alias("text"))
+    rows = marked(held, items, n, "text", "item_id", "text", most)
+    return rows.filter(F.size("found") == 0).select("whole.*")
 
 
 def without_spans(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,11 +13,13 @@ linked documents of n and m shingles is at most d = (n + m)(den - num)/(den + nu
   document with too few blocks that aren't empty also emits its band's empty block. No limit is set on a block's documents.
 * Frequent shingles, which the order needs, are counted over all documents as those found more than once among about WINDOW shingles of
   distinct sets; the most frequent ones, HOT at most (16 MB), are broadcast.
+* Crowded blocks. A sample of the texts shows the blocks (CROWDED at most) that very many sets share; their members are dealt out under SUBS
+  numbers and their aggregates merged. A crowded block that the sample misses is sorted in one task, with the same result.
 * Buckets of the same members are one: documents that share a passage share many blocks.
-* Stars, then the rest. In a block's bucket every set is first held against the smallest, then, where the bucket isn't yet one component,
-  against the largest, then against drawn ones; sets of one component need no more comparison, and a bucket of three is
-  done after two stars. What is left, sets of different components that share a bucket and weren't compared, is compared in full. So
-  no link between components is lost, and groups of copies need a few comparisons a member. Equal sets are one node from the start.
+* Stars, then the rest. In a block's bucket every set is held against the smallest, the largest and a drawn one, which settles
+  buckets of three and nearly all of groups of copies: sets of one component need no more comparison. What is left, sets of different
+  components that share a bucket and weren't compared, is compared in full. So no link between components is lost, and groups of
+  copies need a few comparisons a member. Equal sets are one node from the start.
 * Verify. Narrow sketches (4 to 1 bits a shingle; in the last comparison 16 to 4) drop pairs whose Hamming distance is over d; what stays is counted exactly,
   from texts that a bitmap of bounded size (16 MB) picks before they are shuffled.
 
@@ -30,15 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import GOLD, Scratch, cut, in_slices, mix, read, slice_hashes
+from .shared import GOLD, Scratch, cut, in_slices, mix, read, ship, slice_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
-STARS = 4
 WIDE = 16
+#: One text in SAMPLE shows crowded blocks: those with LEAST_CROWDED of its sets and 1/CROWDED of its rows.
+SAMPLE, LEAST_CROWDED, CROWDED, SUBS = 64, 16, 4096, 64
+#: The drawn set of a bucket is the one nearest to this number.
+DRAW = 0x5DEECE66D1A4B3C7
 #: Digests of sets that a task remembers, to emit equal sets once.
 REMEMBER = 1 << 18
 HOT, LEAST_HOT, WINDOW = 2_000_000, 4, 1 << 20
@@ -202,7 +207,9 @@ def _nodes(k: int, num: int, den: int):
     return of
 
 
-def _keys(k: int, num: int, den: int, hot):
+def _keys(k: int, num: int, den: int, hot, crowded: np.ndarray):
+    """key, sub, sid: the blocks by which each distinct set looks for partners; sub is 0 but for crowded blocks (sorted keys)."""
+
     def of(batches):
         seen: set[int] = set()
         for _, data, off in in_slices(batches, "text"):
@@ -220,9 +227,13 @@ def _keys(k: int, num: int, den: int, hot):
                 here = fresh[d]
                 d, h, n = d[here], h[here], np.where(fresh, n, 0)
             doc, key = block_keys(d, h, n, num, den, hot.value)
+            whose, sub = sid[doc], np.zeros(len(doc), np.int32)
+            if len(crowded):
+                many = crowded[np.minimum(np.searchsorted(crowded, key), len(crowded) - 1)] == key
+                sub[many] = whose[many] % SUBS + 1
             for at in range(0, len(doc), 100_000):
                 part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(sid[doc[part]]), pa.array(n[doc[part]])], ["key", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(sub[part]), pa.array(whose[part])], ["key", "sub", "sid"])
 
     return of
 
@@ -263,21 +274,24 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return likely.select(docs.columns).join(ids, "doc_id", "left_semi")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, comp) for each end of edges (a, b): comp is the smallest v that can be reached.
 
-    Every round takes the least label among neighbours and then that label's own label, so paths halve."""
-    both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("comp")))
+    Every round takes the least label among neighbours and then that label's own label, so paths halve. Labels only
+    fall, so a round that leaves their sum as it was is the last."""
+    both = scratch.save(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct())
+    labels, was = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("comp")), None
+    labels = scratch.save(labels)
     while True:
-        near = both.join(labels.select(F.col("v").alias("w"), "comp"), "w").groupBy("v").agg(F.min("comp").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        step = cut(step)
-        jump = step.select(F.col("v").alias("comp"), F.col("comp").alias("far"))
-        after = cut(step.join(jump, "comp", "left").select("v", "was", F.coalesce("far", "comp").alias("comp")))
-        labels = after.select("v", "comp")
-        if after.filter("was != comp").isEmpty():
+        near = both.join(labels.select(F.col("v").alias("w"), "comp"), "w").select("v", "comp").union(labels).groupBy("v").agg(F.min("comp").alias("comp"))
+        jump = near.select(F.col("v").alias("comp"), F.col("comp").alias("far"))
+        seen = Observation()
+        after = near.join(jump, "comp", "left").select("v", F.coalesce("far", "comp").alias("comp"))
+        labels = scratch.save(after.observe(seen, F.sum(F.col("comp").cast("decimal(38)")).alias("total")))
+        total = seen.get["total"]
+        if total == was:
             return labels
+        was = total
 
 
 def _side(reps: DataFrame, x: str) -> DataFrame:
@@ -308,82 +322,104 @@ def _pair(p: str, q: str) -> list:
     return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
 
 
+def _packed(column: str):
+    def of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(column).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["packed"])
+
+    return of
+
+
+def _longs(df: DataFrame, column: str) -> np.ndarray:
+    """A column of 64-bit numbers, sorted, sent to the driver as blocks of bytes."""
+    blocks = df.select(column).mapInArrow(_packed(column), "packed binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["packed"], np.int64) for r in blocks]]))
+
+
+def _frequent(nodes: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The hashes of the most frequent shingles, HOT at most."""
+    often = scratch.save(nodes.select(F.explode("often").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).filter(F.col("c") >= LEAST_HOT))
+    octave = F.floor(F.log2("c") * 8) / 8
+    room, least = HOT, float("inf")
+    for r in often.groupBy(octave.alias("octave")).agg(F.count("*").alias("k")).orderBy(F.desc("octave")).collect():  # a few hundred rows at most
+        if (room := room - r["k"]) < 0:
+            break
+        least = r["octave"]
+    return np.sort(_longs(often.filter(octave >= least), "h").view(np.uint64))
+
+
+def _buckets(raw: DataFrame, k: int, num: int, den: int, hot, scratch: Scratch) -> DataFrame:
+    """key, sid, m, centre, last, drawn: the members of each bucket of two sets or more, with its size and three of its members."""
+    kind = "key long, sub int, sid long"
+    some = raw.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(_keys(k, num, den, hot, np.zeros(0, np.int64)), kind)
+    tally = scratch.save(some.groupBy("key").agg(F.count("*").alias("m")))
+    rows = tally.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    crowded = _longs(tally.filter(F.col("m") >= max(LEAST_CROWDED, rows // CROWDED)), "key")
+    facts = [F.min("sid").alias("centre"), F.max("sid").alias("last"), F.min(F.col("sid").bitwiseXOR(F.lit(DRAW))).alias("near"), F.count("sid").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("parity")]
+    by_key = W.partitionBy("key", "sub")
+    told = raw.select("text").mapInArrow(_keys(k, num, den, hot, crowded), kind)
+    told = told.select("*", *[F.max("sid").over(by_key).alias("last"), F.min("sid").over(by_key).alias("centre"), F.min(F.col("sid").bitwiseXOR(F.lit(DRAW))).over(by_key).alias("near"), F.count("sid").over(by_key).alias("m"), F.bit_xor(F.xxhash64("sid")).over(by_key).alias("parity")])
+    told = told.filter("sub > 0 OR centre != last").select("key", "sub", "sid", "centre", "last", "near", "m", "parity")
+    if len(crowded):
+        told = scratch.save(told)
+        many = told.filter("sub > 0").select("key", "sid")
+        merged = many.groupBy("key").agg(*facts)  # a row for each crowded block
+        told = told.filter("sub = 0").drop("sub").union(many.join(F.broadcast(merged), "key").filter("centre != last").select("key", "sid", "centre", "last", "near", "m", "parity"))
+    same = F.xxhash64("m", "parity").alias("key")
+    return scratch.save(told.select(same, "sid", "m", "centre", "last", F.col("near").bitwiseXOR(F.lit(DRAW)).alias("drawn")).distinct())
+
+
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Words are runs of characters other than [\\x20\\x09-\\x0D], A-Z lower-cased. With fewer than k words the whole sequence is one
     shingle. Null, empty and blank texts have no shingles and link with nothing. A set that only rows with a null doc_id have links with nothing but
     itself, and its component_id is null. Other columns aren't read."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    spark = ship(docs.sparkSession)
+    scratch = Scratch(spark)
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     nodes = scratch.save(raw.mapInArrow(_nodes(k, num, den), f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, {NODE}"))
-    often = scratch.save(nodes.select(F.explode("often").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).filter(F.col("c") >= LEAST_HOT))
-    sizes = often.groupBy((F.floor(F.log2("c") * 8) / 8).alias("octave")).agg(F.count("*").alias("k")).orderBy(F.desc("octave")).collect()
-    room, least = HOT, float("inf")
-    for r in sizes:  # a few hundred rows at most: eighths of octaves
-        if (room := room - r["k"]) < 0:
-            break
-        least = r["octave"]
-    often = often.filter(F.floor(F.log2("c") * 8) / 8 >= least)
-    hot = spark.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
-    rows = raw.select("text").mapInArrow(_keys(k, num, den, hot), "key long, sid long, n long")
-    by_key = W.partitionBy("key")
-    buckets = scratch.save(
-        rows.withColumn("centre", F.min("sid").over(by_key))
-        .withColumn("last", F.max("sid").over(by_key))
-        .withColumn("members", F.xxhash64(F.count("sid").over(by_key), F.bit_xor(F.xxhash64("sid")).over(by_key)))
-        .filter("centre != last")
-        .select(F.col("members").alias("key"), "sid", "n", "centre")
-        .distinct()
-    )
+    hot = spark.sparkContext.broadcast(_frequent(nodes, scratch))
+    buckets = _buckets(raw, k, num, den, hot, scratch)
+    hot.unpersist()
     alone = F.struct(F.col("doc_id").isNull(), "doc_id", "n", "band", "own", "next")
     reps = nodes.filter("n > 0").join(buckets.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(alone).alias("r"))
     reps = scratch.save(reps.select("sid", "r.doc_id", "r.n", "r.band", "r.own", "r.next"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        close = scratch.save(pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").filter(_close(num, den)).select("a", "b"))
-        return _verified(close, raw, reps, scratch, k, num, den)
-
-    fits = (F.col("n") * num <= F.col("c.n") * den) & (F.col("c.n") * num <= F.col("n") * den)
-    tried = scratch.save(buckets.filter("sid != centre").select(*_pair("sid", "centre")).distinct())
-    edges = links(tried)
-    labels, left = components(edges), buckets.select("key", "sid", "n")
-    for star in range(1, STARS + 1):
-        known = left.select("key", "sid", "n").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        told = known.select("*", *[f(c).over(by_key).alias(to) for f, c, to in ((F.min, "comp", "low"), (F.max, "comp", "high"), (F.count, "sid", "m"), (F.min, "sid", "first"), (F.max, "sid", "last"))])
-        left = scratch.save(told.filter((F.col("low") != F.col("high")) & (F.col("m") > min(star + 1, 3))).drop("low", "high", "m"))
-        if left.isEmpty():
-            break
-        if star < STARS:
-            draw = -F.col("sid").cast("decimal(20)") if star == 1 else F.xxhash64("sid", "key", F.lit(star)).cast("decimal(20)")
-            seen = left.withColumn("c", F.min(F.struct(draw.alias("draw"), "sid", "comp", "n")).over(by_key))
-            pairs = seen.filter("comp != c.comp").filter(fits).select(*_pair("sid", "c.sid"))
-            pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-            tried, found = tried.union(pairs), links(pairs)
-        else:  # the first and the last of a bucket have been held against all its others
-            rest = left.filter("sid != first AND sid != last")
-            ids = scratch.save(reps.join(rest.select("sid").distinct(), "sid", "left_semi").select("doc_id"))
-            wide = scratch.save(_picked(raw, ids).select("text").mapInArrow(_sketches(k, num, den, WIDE), "sid long, n long, band int, own array<long>, next array<long>"))
-            p, q = (rest.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(wide, x), x) for x in "ab")
-            rest = p.join(q, "key").filter("a < b AND comp_a != comp_b").filter(_close(num, den))
-            rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-            found = _verified(scratch.save(rest), raw, reps, scratch, k, num, den)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = components(edges)
+    stars = buckets.select("sid", F.explode(F.array_distinct(F.array("centre", "last", "drawn"))).alias("star")).filter("sid != star").select(*_pair("sid", "star")).distinct()
+    close = scratch.save(stars.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").filter(_close(num, den)).select("a", "b"))
+    edges = _verified(close, raw, reps, scratch, k, num, den)
+    labels = components(edges, scratch)
+
+    known = buckets.filter("m > 3").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    known = scratch.save(known)
+    split = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+    rest = scratch.save(known.filter("sid != centre AND sid != last AND sid != drawn").join(split, "key", "left_semi").select("key", "sid", "comp"))
+    ids = scratch.save(reps.join(rest.select("sid").distinct(), "sid", "left_semi").select("doc_id"))
+    wide = scratch.save(_picked(raw, ids).select("text").mapInArrow(_sketches(k, num, den, WIDE), "sid long, n long, band int, own array<long>, next array<long>"))
+    p, q = (rest.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(wide, x), x) for x in "ab")
+    close = scratch.save(p.join(q, "key").filter("a < b AND comp_a != comp_b").filter(_close(num, den)).select("a", "b").distinct())
+    found = _verified(close, raw, reps, scratch, k, num, den)
+    if not found.isEmpty():
+        labels = components(edges.union(found), scratch)
     placed = nodes.filter("n >= 0").join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("comp"))
     placed = cut(placed)
-    first = cut(placed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     scratch.drop()
+    first = placed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(first, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay when one document of each group, the smallest doc_id, does. doc_id must be unique where not null."""
-    groups = jaccard_groups(docs, doc_id, text)
-    drop = cut(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__drop")))
-    return docs.join(drop, docs[doc_id] == drop["__drop"], "left_anti")
+    """The rows of docs that stay when one row of each group does: of the smallest doc_id, a null one after all others; of rows that repeat
+    it, one. Rows without words stay. Rows are told apart by a number of their own that is saved with them, so ids may repeat or be null."""
+    scratch, number = Scratch(ship(docs.sparkSession)), "__row"
+    while number in docs.columns:
+        number += "_"
+    rows = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
+    ids = rows.select(F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.col(number).alias("row")).alias("id"), F.col(text).alias("text"))
+    drop = cut(jaccard_groups(ids, "id").filter("doc_id != component_id").select(F.col("doc_id.row").alias(number)))
+    return rows.join(drop, number, "left_anti").select(docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from ..plans.session import Scratch, cut, shared_dir, ship
 
-__all__ = ["Scratch", "cut", "in_slices", "mix", "ragged", "read", "shared_dir", "ship", "slice_hashes", "text_or_empty"]
+__all__ = ["Scratch", "cut", "in_slices", "mix", "parts_for", "ragged", "read", "shared_dir", "ship", "slice_hashes", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def parts_for(spark: SparkSession, size: int, each: int = 128 << 20) -> int:
+    """Into how many partitions so many bytes are dealt: the session's number, and enough that each holds about 128 MB."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

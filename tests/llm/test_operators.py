@@ -51,13 +51,19 @@ def test_exact_dedup(docs, nothing, spark):
     out = exact_dedup.groups(hot).filter("group_size > 1").collect()
     assert {(r["keep_id"], r["group_size"]) for r in out} == {(1, 2001)} and [r["doc_id"] for r in out if r["kept"]] == [1]
     assert exact_dedup.distinct_documents(docs).columns == docs.columns
+    named = by_id(exact_dedup.groups(spark.createDataFrame([("b", "x y"), ("a", "x y"), ("c", "xy ")], "doc_id string, text string")))
+    assert {i: r["keep_id"] for i, r in named.items()} == {"a": "a", "b": "a", "c": "a"}
+    rows = [(1, "x y", 1), (1, "x y", 2), (None, "xy", 3), (None, "z", 4), (None, "z", 5), (1, "q", 6), (2, None, 7), (3, "", 8)]
+    for some in (rows, rows + [(i, "x y", 9 + i) for i in range(2, 600)]):
+        kept = exact_dedup.distinct_documents(spark.createDataFrame(some, "doc_id long, text string, norm int")).collect()
+        assert len(kept) == 4 and {r["text"] for r in kept} == {"x y", "z", "q", None} and {r["doc_id"] for r in kept} == {1, None, 2}
 
 
 def words(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
 
 
-@pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
+@pytest.mark.parametrize("most", [decontaminate.MOST_BYTES, 1500])
 def test_decontamination(docs, nothing, spark, most):
     items = [(1, TEXTS[0][1]), (2, "One TWO"), (3, None), (4, "!!"), (5, LONG[:400]), (6, "one two"), (7, "123")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -80,6 +86,10 @@ def test_decontamination(docs, nothing, spark, most):
 def test_decontamination_removes(docs, spark):
     bench = spark.createDataFrame([(2, "one two")], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()} == {i for i, _ in TEXTS} - {6, 7}
+    twice = spark.createDataFrame([(None, "x one two"), (1, "one two"), (1, "clean"), (None, None)], "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("found", F.lit(2))
+    assert [tuple(r) for r in decontaminate.clean_documents(twice, bench).orderBy(F.desc("doc_id")).collect()] == [(1, "clean", 1, 2), (None, None, 1, 2)]
+    many = spark.createDataFrame([(0, "one two " * 5000)], "doc_id long, text string")
+    assert decontaminate.hits(many, bench).select("n_hit", "n_words").first() == (10000, 10000)
     some = spark.createDataFrame([(0, "A, One two! b"), (1, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in decontaminate.without_spans(some, bench).collect()} == {0: "A, b", 1: None}
 
@@ -297,9 +307,15 @@ def brute_groups(texts):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-def test_jaccard(docs, nothing, spark):
+@pytest.mark.parametrize("sample", [jaccard.SAMPLE, 1])
+def test_jaccard(docs, nothing, spark, monkeypatch, sample):
+    """sample 1: every block of two sets or more is treated as crowded."""
     import random
 
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    if sample == 1:
+        monkeypatch.setattr(jaccard, "LEAST_CROWDED", 2)
+
     g = random.Random(4)
     texts = list(TEXTS)
     for base in range(12):
@@ -322,6 +338,16 @@ def test_jaccard(docs, nothing, spark):
     assert {r["component_id"] for r in jaccard.jaccard_groups(nulls).collect()} == {5}
 
 
+def test_one_of_each_row(spark):
+    """Rows that repeat an id, with the same text or another, and rows without an id."""
+    t = "a b c d e f g h"
+    rows = [(5, t, 1), (5, t, 2), (3, t, 3), (None, t, 4), (5, "x y z", 5), (None, "p q r", 6), (None, "p q r", 7), (9, None, 8), (9, None, 9)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __row int"))
+    assert got.columns == ["doc_id", "text", "__row"]
+    kept = sorted(r["__row"] for r in got.collect())
+    assert kept in ([3, 5, 6, 8, 9], [3, 5, 7, 8, 9])
+
+
 def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long")
     got = {r["doc_id"]: r["h"] for r in df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
