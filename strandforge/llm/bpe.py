@@ -24,6 +24,8 @@ from .shared import in_slices, ragged, read, slice_hashes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Slices that a worker's cache holds at most, and bytes from which a slice is merged by a heap.
 CACHE, LONG = 400_000, 48
+#: Bytes of text that a step of numpy work takes (one text at least); the arrays take some hundred times as many.
+SLICE = 1 << 18
 
 L, N, O, SPACE, LAST_WHITE, WHITE, SHORT, LONGER = range(8)  # symbols; the last two: an apostrophe before one or two letters of a contraction
 FRESH, IN_L, IN_N, IN_O, IN_WHITE, AFTER_SPACE, ONE_LEFT, TWO_LEFT = range(8)  # states
@@ -59,13 +61,12 @@ def classes() -> np.ndarray:
     if not _classes:
         import tiktoken
 
-        every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
         of = np.full(0x110000, 2, np.uint8)
         one = {bytes([b]): b for b in range(256)}
         for pattern, kind in ((r"\p{L}", 0), (r"\p{N}", 1), (r"\s", 3)):
             enc = tiktoken.Encoding(f"class {kind}", pat_str=pattern, mergeable_ranks=one, special_tokens={})
-            for at in range(0, len(every), 1 << 16):
-                part = "".join(map(chr, every[at : at + (1 << 16)]))
+            for at in range(0, 0x110000, 1 << 14):
+                part = "".join(chr(c) for c in range(at, at + (1 << 14)) if not 0xD800 <= c < 0xE000)
                 for c in bytes(enc.encode_ordinary(part)).decode():
                     of[ord(c)] = kind
         _classes.append(of)
@@ -294,7 +295,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def of(batches):
         m = model(ranks.value)
-        for rows, data, off in in_slices(batches, "text"):
+        for rows, data, off in in_slices(batches, "text", SLICE):
             ids, per = m.exactly(data, off)
             at = np.append(0, np.cumsum(per)).astype(np.int32)
             begin = np.cumsum(m.length[ids]) - m.length[ids] - np.repeat(off[:-1], per)
@@ -327,7 +328,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def of(batches):
         m = model(ranks.value)
-        for rows, data, off in in_slices(batches, "text"):
+        for rows, data, off in in_slices(batches, "text", SLICE):
             ids, per = m.exactly(data, off)
             back, size = m.decode(ids).tobytes(), m.length[ids]
             to = np.append(0, np.cumsum(per))

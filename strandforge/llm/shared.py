@@ -28,7 +28,7 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def in_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows whose texts have about `limit` bytes (one row at least): the rows, all bytes, offsets. Null is empty.
 
     A batch of Spark has a set number of rows, so its bytes are unbounded; numpy work needs many times
@@ -69,7 +69,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2**64, of an odd base and of its inverse."""
     if len(_powers[0]) < n:
         base = 0x9E3779B97F4A7C15 | 1
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for k, b in enumerate((base, pow(base, -1, 1 << 64))):
             p = np.full(size, np.uint64(b))
             p[0] = 1

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, cut, read
+from .shared import Scratch, cut, parts_for, read, ship
 
 BLOCK, FILE_BYTES, LEAST = 1000, 1 << 30, 0
 DATE = "1970-01-01T00:00:00Z"
@@ -54,15 +54,27 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def surt(url: str | None) -> str:
-    """The key of a URL: host labels reversed, then the port, then path and query. A URL without a host is its own key."""
+    """The key of a URL: host labels reversed, then the port, then path and query. A URL without a host is its own key. Tabs and line breaks, which
+    divide an index's lines, are written as escapes, so that keys are sorted as they are kept."""
+    key = url or ""
     try:
-        u = urlsplit(url or "")
+        u = urlsplit(key)
         host, port = u.hostname or "", u.port
+        if host:
+            key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
     except ValueError:
-        return url or ""
-    if not host:
-        return url or ""
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
+        pass
+    return key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
+
+
+def _page_order(page: int | None) -> tuple:
+    """Pages without an id come first, as Spark sorts them."""
+    return (page is not None, page or 0)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in b.column("url").to_pylist()], pa.string()), b.column("page_id")], ["key", "page_id"])
 
 
 def digest(payload: bytes) -> str:
@@ -74,7 +86,7 @@ def record(page_id, url: str | None, payload: bytes, head) -> bytes:
     kind = "response" if head == page_id else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '', safe='%/:?#[]@!$&()*+,;=~')}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '', safe='%/:?#[]@!$&()*+,;=~')}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{head}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -102,9 +114,11 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, least: int =
     """Writes a record for each row of pages (page_id, url, html; null html is empty, null url an empty address).
 
     Of records with equal payloads of `least` bytes or more, that with the largest page_id is the response; smaller payloads are all responses. Rows
-    that repeat a page_id with the same payload are responses or revisits alike. A null page_id is written as -1. Other columns aren't read."""
-    rows = pages.select(F.coalesce("page_id", F.lit(-1)).cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    that repeat a page_id with the same payload are responses or revisits alike. A row without a page_id revisits the response of its payload, and
+    is a response itself if no page with that payload has an id; its record's id is empty. Payloads are equal if their SHA-256 and lengths are. Other columns aren't read."""
+    ship(pages.sparkSession)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("sha", F.concat(F.unhex(F.sha2(F.col("html").cast("binary"), 256)), F.octet_length("html").cast("string").cast("binary")))
     heads = scratch.save(rows.groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
     placed = rows.join(heads, "sha", "left").select("page_id", "url", "html", F.when(F.octet_length("html") >= least, F.coalesce("head", "page_id")).otherwise(F.col("page_id")).alias("head"))
 
@@ -125,7 +139,8 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, least: int =
                 lines.append((surt(url), page, name, at, len(member)))
                 at += len(member)
             if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*lines)], ["key", "page_id", "file", "at", "size"])
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*lines), kinds)], ["key", "page_id", "file", "at", "size"])
         if out is not None:
             out.close()
 
@@ -136,8 +151,8 @@ def build_index(archives: Archives, scratch: Scratch) -> Index:
     """The blocks and their directory. A host with any share of the captures is dealt out by its paths and pages."""
     folder = f"{archives.folder}/index"
     spark = archives.captures.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = archives.captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
+    size = archives.captures.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0))).first()[0]
+    ordered = archives.captures.repartitionByRange(parts_for(spark, size), "key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _place(folder)
@@ -148,12 +163,13 @@ def build_index(archives: Archives, scratch: Scratch) -> Index:
             if out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}", compression=None)
-            z = zlib.compress("\n".join("\t".join(map(str, (*x[1:], x[0].replace("\n", "%0A")))) for x in lines).encode())
+            z = zlib.compress("\n".join("\t".join("" if y is None else str(y) for y in (*x[1:], x[0])) for x in lines).encode())
             out.write(z)
             row = (lines[0][0], lines[0][1], lines[-1][0], lines[-1][1], name, at, len(z))
             at += len(z)
             lines = []
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["first_key", "first_page", "last_key", "last_page", "file", "at", "size"])
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["first_key", "first_page", "last_key", "last_page", "file", "at", "size"])
 
         for b in batches:
             for line in zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "file", "at", "size"))):
@@ -190,10 +206,12 @@ class _Reader:
 def captures(wanted: DataFrame, index: Index) -> DataFrame:
     """The captures of (url, page_id) rows, read from the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
-    Rows that ask for the same capture get it once; what the index doesn't have gives no row; payload is null for revisits."""
-    key = F.udf(surt, "string")
-    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = wanted.select(key("url").alias("key"), "page_id").distinct().repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    Rows that ask for the same capture get it once; a null page_id asks for the captures of its url without one; what the index doesn't have gives no
+    row; payload is null for revisits."""
+    spark = ship(wanted.sparkSession)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(_keyed, "key string, page_id long").distinct()
+    asked = asked.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, records = _Reader(f"{index.folder}/index"), _Reader(index.folder)
@@ -202,22 +220,22 @@ def captures(wanted: DataFrame, index: Index) -> DataFrame:
             if not b.num_rows:
                 continue
             keys, pages = b.column("key").to_pylist(), b.column("page_id").to_pylist()
-            low, high = keys[0], keys[-1]
-            table = ds.dataset(path, filesystem=store, format="parquet").to_table(filter=(ds.field("last_key") >= low) & (ds.field("first_key") <= high))
-            rows = sorted(table.to_pylist(), key=lambda r: (r["first_key"].encode(), r["first_page"]))
-            firsts = [(r["first_key"].encode(), r["first_page"]) for r in rows]
+            table = ds.dataset(path, filesystem=store, format="parquet").to_table(filter=(ds.field("last_key") >= keys[0]) & (ds.field("first_key") <= keys[-1]))
+            edge = lambda r, side: (r[f"{side}_key"].encode(), *_page_order(r[f"{side}_page"]))
+            rows = sorted(table.to_pylist(), key=lambda r: edge(r, "first"))
+            firsts, lasts = [edge(r, "first") for r in rows], [edge(r, "last") for r in rows]
             at, lines, marks, found = -1, [], [], []
-            for want in ((k.encode(), p) for k, p in zip(keys, pages)):
+            for want in ((k.encode(), *_page_order(p)) for k, p in zip(keys, pages)):
                 k = max(0, bisect.bisect_left(firsts, want) - 1)
                 while k < len(rows) and firsts[k] <= want:
-                    r = rows[k]
-                    if (r["last_key"].encode(), r["last_page"]) >= want:
+                    if lasts[k] >= want:
                         if k != at:
+                            r = rows[k]
                             text = zlib.decompress(blocks(r["file"], r["at"], r["size"])).decode()
                             lines, at = [x.split("\t", 4) for x in text.split("\n")], k
-                            marks = [(x[4].encode(), int(x[0])) for x in lines]
-                        i = bisect.bisect_left(marks, (want[0].replace(b"\n", b"%0A"), want[1]))
-                        while i < len(lines) and marks[i] == (want[0].replace(b"\n", b"%0A"), want[1]):
+                            marks = [(x[4].encode(), *_page_order(int(x[0]) if x[0] else None)) for x in lines]
+                        i = bisect.bisect_left(marks, want)
+                        while i < len(lines) and marks[i] == want:
                             found.append(_answer(parse(gzip.decompress(records(lines[i][1], int(lines[i][2]), int(lines[i][3]))))))
                             i += 1
                             if len(found) == 100:
@@ -231,7 +249,7 @@ def captures(wanted: DataFrame, index: Index) -> DataFrame:
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn[len("<urn:page:") : -1]) if urn else None
+    return int(urn[len("<urn:page:") : -1]) if urn and urn != "<urn:page:>" else None
 
 
 def _answer(r: dict) -> tuple:

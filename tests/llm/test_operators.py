@@ -106,6 +106,52 @@ def test_language_id(spark, docs, nothing):
     assert {r["lang_pred"] for r in langid.languages(docs, langid.fitted(nothing)).collect()} == {"und"}
 
 
+def plain_bayes(train, texts):
+    """The same model by dictionaries and one text at a time."""
+    import math
+    from collections import Counter
+
+    def grams(t):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t)
+        low = re.sub(" +", " ", low)
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                h = n
+                for c in low[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                    h = (h ^ h >> shift) * by % 2**64
+                yield h % langid.BUCKETS
+
+    count, rows = {}, Counter()
+    for t, x in train:
+        if t is not None and x is not None:
+            rows[x] += 1
+            count.setdefault(x, Counter()).update(grams(t))
+    size = {x: sum(c.values()) + langid.SMOOTH * langid.BUCKETS for x, c in count.items()}
+    out = {}
+    for i, t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        at = {x: math.log(rows[x] / sum(rows.values())) + sum(math.log((count[x][g] + langid.SMOOTH) / size[x]) for g in grams(t)) for x in count}
+        best = min(at, key=lambda x: (-at[x], x))
+        out[i] = (best, 1 / sum(math.exp(v - at[best]) for v in at.values()))
+    return out
+
+
+@pytest.mark.parametrize("block", [langid.LANGUAGES, 2])
+def test_language_id_by_brute_force(spark, docs, block):
+    """Repeated rows, ties, nulls and texts without letters too; a block of 2 languages needs several matrices."""
+    train = [("the cat sat on the mat", "en"), ("the cat sat on the mat", "en"), ("die katze saß auf der matte", "de"), ("le chat était sur le tapis", "fr"), ("кот сидел на коврике", "ru"), ("same", "aa"), ("same", "bb"), (None, "xx"), ("zz", None), ("", "cc")]
+    model = langid.fitted(spark.createDataFrame(train, "text string, lang string"), languages=block)
+    assert [x for b in model for x in b.langs] == ["aa", "bb", "cc", "de", "en", "fr", "ru"] and len(model) == (1 if block > 2 else 4)
+    texts = [*TEXTS, (20, "Katze"), (21, "same"), (22, "chat КОТ"), (23, "same")]
+    got = by_id(langid.languages(spark.createDataFrame(texts, "doc_id long, text string").withColumn("best", F.lit("x")), model))
+    for i, (lang, score) in plain_bayes(train, texts).items():
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-3, (i, got[i], lang, score)
+
+
 def test_chat_round_trip(spark):
     said = ["</s>\n<|user|>\n", "[INST] \\ [/INST]", "", None, "a\\", "é😀|>"]
     turns = [(1, k, r, t, 0) for k, (r, t) in enumerate(zip(["user", "assistant", "us|>er", None, "assistant", "assistant"], said))] + [(2, 0, "user", "x", 0), (2, 0, "user", "x", 0)]
@@ -146,6 +192,15 @@ def test_warc(spark):
     empty = warc.build_index(warc.write_archives(pages.limit(0), f"{scratch.at}/e", scratch), scratch)
     assert warc.captures(pages.limit(0), empty).count() == 0
     assert warc.surt("http://www.example.com/a?b=1") == "com,example,www)/a?b=1"
+    # keys that only escapes keep apart, in one block, pages without an id, and one key many times
+    urls = ["x\n", "x!", "x#", "x", "x%0A", "x\t", "x\r", None, ""]
+    odd = [(i, u, f"<p>{i % 4}") for i, u in enumerate(urls * 3)] + [(None, "x!", "<p>0"), (None, "x\n", "only"), (None, None, None)]
+    pages = spark.createDataFrame(odd, "page_id long, url string, html string")
+    index = warc.build_index(warc.write_archives(pages, f"{scratch.at}/o", scratch), scratch)
+    got = warc.captures(pages, index).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(i) for i, _, _ in odd)
+    most = {f"<p>{k}": max(i for i, _, h in odd[:27] if h == f"<p>{k}") for k in range(4)}
+    assert {(r["page_id"], r["refers_to"]) for r in got} == {(i, most[h] if h in most and most[h] != i else None) for i, _, h in odd}
     with pytest.raises(ValueError):
         warc.parse(warc.record(1, "u", b"abc", 1)[:-3])
 
