@@ -2,10 +2,13 @@
 
 One pattern finds the entities; each gets one surrogate for the whole corpus, whatever form its mentions have, so they still refer to
 one thing (coreference): letter case of addresses, blanks and punctuation of numbers, titles, and a family name alone after a full name
-in one text; each mention keeps its own form. A surrogate follows from a key, the kind, the entity and an attempt number, and keeps kind, length,
-punctuation, letter case and script; card numbers keep the validity of their check digit, names the gender and script of a title. Rounds of
+in one text; each mention keeps its own form. A surrogate follows from a secret key that the caller gives, the kind, the entity and an attempt number. It keeps
+kind, punctuation, letter case and script, and but for names and network addresses the length; an IBAN keeps its country and the validity of its check digits, a
+phone number its calling code, a card number the validity of its check digit, a name the gender and script of its title. Rounds of
 collision checks keep entities distinct: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again.
 After SHAPED draws of an entity's own length each draw is a character longer than the one before, so a full shape is left behind.
+
+Every pattern takes time in proportion to the text: what can repeat without a bound is possessive and begins only where its run begins.
 """
 
 from __future__ import annotations
@@ -18,18 +21,19 @@ from pyspark.sql import functions as F
 from .shared import Scratch, read
 from .spans import spans
 
-KEY = "a key that the caller should set"
 SHAPED = 8
+#: The session's setting that names the key of the registered query, which without it uses a key that isn't secret.
+KEY_SETTING, OPEN_KEY = "spark.strandforge.pii.key", "not secret"
 
 # What is looked for, in order of precedence, and the names that stand in.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "name": r"(?<!\p{L})(?:Mrs?\.?|Ms\.?|Miss|Herrn?|Frau|Monsieur|Madame|Señora?|господин|госпожа|Κύριος|Κυρία)[ ]\p{Lu}[\p{L}'’-]+(?:[ ]\p{Lu}[\p{L}'’-]+)?",
+    "name": r"(?<!\p{L})(?:Mrs?\.?|Ms\.?|Miss|Herrn?|Frau|Monsieur|Madame|Señora?|господин|госпожа|Κύριος|Κυρία)[ ]\p{Lu}[\p{L}'’-]++(?:[ ]\p{Lu}[\p{L}'’-]++)?+",
 }
 FEMALE_TITLES = ["Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Frau", "Madame", "Señora", "госпожа", "Κυρία"]
 NAMES = {
@@ -43,6 +47,8 @@ NAMES = {
     ("Greek", "m"): ["Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος"],
     ("Greek", "s"): ["Βλάχος", "Γαλάνης", "Δούκας", "Καρράς", "Λάμπρου", "Μαυράκης", "Νικολάου", "Ράπτης"],
 }
+# Calling codes of one, two or three digits.
+CALLING = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DIGITS, SMALL, LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -51,7 +57,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 def kind_of(entity: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(PATTERNS.items()):
-        out = F.when(entity.rlike(f"^(?:{pattern.replace('(?<![A-Za-z0-9])', '').replace('(?<![0-9.])', '').replace('(?<![A-Za-z0-9-])', '').replace(chr(40) + '?<!' + chr(92) + 'p{L})', '')})$"), F.lit(kind)).otherwise(out)
+        out = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
 
 
@@ -91,6 +97,16 @@ def _odd_sum(entity: Column) -> Column:
     return F.aggregate(F.transform(F.filter(ds, lambda c: c != ""), part), F.lit(0), lambda s, x: s + x)
 
 
+def _check_digits(country: Column, account: Column) -> Column:
+    """The number, 2 to 98, that makes an IBAN of this country and account valid."""
+
+    def step(left: Column, c: Column) -> Column:
+        digit = c.rlike("^[0-9]$")
+        return F.pmod(F.when(digit, left * 10 + F.when(digit, c).cast("int")).otherwise(left * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return 98 - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+
+
 def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, F.lit(str(attempt))).cast("binary"), 256)
     longer = max(0, attempt + 1 - SHAPED)
@@ -104,6 +120,12 @@ def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
     off = F.pmod(_odd_sum(entity) - _odd_sum(plain), F.lit(10))
     last = F.pmod(F.substring(plain, -1, 1).cast("int") + off, F.lit(10)).cast("string")
     card = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), last)
+    # check digits move by as much from the valid ones as the entity's do
+    country, account, new = F.substring(entity, 1, 2), F.substring(entity, F.lit(5), F.length(entity)), F.substring(plain, F.lit(5), F.length(plain))
+    wrong = F.substring(entity, 3, 2).try_cast("int") - _check_digits(country, account)
+    iban = F.concat(country, F.format_string("%02d", F.pmod(_check_digits(country, new) + wrong - 2, F.lit(97)) + 2), new)
+    code = F.regexp_extract(entity, CALLING, 0)
+    phone = F.concat(code, F.substring(plain, F.length(code) + 1, F.length(plain)))
     words = F.split(entity, " ")
     title, parts = F.element_at(words, 1), F.size(words)
     script = _script(entity)
@@ -121,7 +143,7 @@ def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
         told = F.when(parts > 2, F.concat_ws(" ", title, first, family)).otherwise(F.concat_ws(" ", title, family))
         here = (script == of) & (woman if sort == "f" else ~woman)
         name = F.when(here, told) if name is None else name.when(here, told)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", name).otherwise(plain)
 
 
 def surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -186,30 +208,33 @@ def corefer(mentions: DataFrame) -> DataFrame:
     return family.select("row", "i", "kind", "entity", F.coalesce("full", "is").alias("is"))
 
 
-def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text with surrogates, entities: (kind, start, end, value) in the old text's code points.
 
-    Null text stays null and has no entities; rows that repeat a doc_id are rows of their own, the same entity has the same
+    key is the secret from which surrogates follow: with another key they are others. Null text stays null and has no entities; rows that repeat
+    a doc_id, or have none, are rows of their own, the same entity has the same
     surrogate, in the mention's format, in all; other columns aren't read. An entity at several places, in however many rows, is one entity."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     scratch = Scratch(docs.sparkSession)
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    found = spans(F.coalesce("text", F.lit("")), ANY, "")
-    marked = F.transform(found, lambda s: F.struct(kind_of(s["value"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    scanned = raw.withColumn("found", found)
-    some = scratch.save(scanned.filter(F.size("found") > 0).withColumn("entities", marked).select("row", "doc_id", "text", "entities"))
+    marked = lambda found: F.transform(found, lambda s: F.struct(kind_of(s["value"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    # texts are searched once; the rows that this saves are all that is read from here on
+    scanned = scratch.save(raw.select("row", "doc_id", "text", marked(spans(F.coalesce("text", F.lit("")), ANY, "")).alias("entities")))
+    some = scanned.filter(F.size("entities") > 0)
     mentions = some.select("row", F.posexplode("entities").alias("i", "s")).select("row", "i", "s.kind", F.col("s.value").alias("entity"))
     mentions = scratch.save(corefer(mentions))
     chosen = surrogates(mentions.select("kind", F.col("is").alias("entity")), key, scratch).select("kind", F.col("entity").alias("is"), "surrogate")
     put = mentions.join(chosen, ["kind", "is"]).select("row", "i", rendered(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("surrogate"))
     new = put.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("new"))
-    gaps = F.split("text", ANY, -1)
+
+    gaps = F.split("text", ANY, -1)  # by places, every piece would cost the whole text before it
     pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.transform("new", lambda x: x["surrogate"]).alias("put")), lambda x: F.concat(x["gap"], F.coalesce(x["put"], F.lit(""))))
     written = some.join(new, "row").select("doc_id", F.array_join(pieces, "").alias("text"), "entities")
-    rest = scanned.filter(F.size("found") == 0).select("doc_id", "text", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("entities"))
-    return written.union(rest)
+    return written.union(scanned.filter(F.size("entities") == 0).select("doc_id", "text", "entities"))
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymised(read(spark, sf_dir, "documents"))
+    found = pseudonymised(read(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, OPEN_KEY))
     said = F.array_join(F.transform("entities", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), said.alias("spans"), "text")

@@ -303,7 +303,7 @@ def test_toxicity_gradients():
 def test_pii(spark, docs, nothing):
     said = "Mail Jo.55@mail9.example.com, +1 (017) 555-7713 or 97.51.17.173. Card 4111 1111 1111 1111. Mrs Élise Dupont met Mr. John Smith. Again Jo.55@mail9.example.com; DE89 3704 0044 0532 0130 00, 123-45-6789 😀"
     df = docs.select("doc_id", "text", "row").union(spark.createDataFrame([(-1, said, 0), (-2, "Jo.55@mail9.example.com!", 0)], "doc_id long, text string, row long"))
-    got = by_id(pii.pseudonymised(df))
+    got = by_id(pii.pseudonymised(df, "k"))
     assert len(got) == len(TEXTS) + 2
     assert all(got[i]["text"] == t for i, t in TEXTS)
     out, found = got[-1]["text"], got[-1]["entities"]
@@ -316,7 +316,7 @@ def test_pii(spark, docs, nothing):
     ds = [int(c) for c in card[::-1] if c != " "]
     assert len(card) == 19 and sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(ds)) % 10 == 0
     assert any(f"Mrs {n} " in out for n in pii.NAMES[("Latin", "f")]) and any(f"Mr. {n} " in out for n in pii.NAMES[("Latin", "m")])
-    assert pii.pseudonymised(nothing).count() == 0
+    assert pii.pseudonymised(nothing, "k").count() == 0
 
 
 def test_pii_keeps_entities_apart(spark):
