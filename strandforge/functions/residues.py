@@ -89,11 +89,13 @@ def codes(seq: Column) -> Column:
     return F.transform(F.split(F.upper(seq), ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(21)) - 1)
 
 
+CODE = np.full(256, X, np.int64)
+for _k, _c in enumerate(ALPHABET):
+    CODE[ord(_c)] = CODE[ord(_c.lower())] = _k
+
+
 def encode(seq: str) -> np.ndarray:
-    table = np.full(256, X, np.int64)
-    for k, c in enumerate(ALPHABET):
-        table[ord(c)] = table[ord(c.lower())] = k
-    return table[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    return CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
 def letters(code: Column) -> Column:

@@ -3,35 +3,53 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.residues import BACKGROUND, codes, score, score_matrix
+from ..functions.arrow import mapped, owners
+from ..functions.residues import BACKGROUND, CODE, half_away, score_matrix
+from ..plans.session import ship
 
 
-def entropies(sequences: DataFrame, key: str, w: int = 12, seq: str = "seq") -> DataFrame:
-    """key, pos, entropy (bits) of every window of w residues. Unknown residues are one more symbol.
+def _counts(c: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each code how often it stands in [low, high) of c."""
+    for symbol in range(21):
+        run = np.append(0, np.cumsum(c == symbol))
+        yield symbol, run[high] - run[low]
+
+
+def entropies(sequences: DataFrame, key: str, w: int = 12, seq: str = "seq", most: float | None = None) -> DataFrame:
+    """key, pos, entropy (bits) of every window of w residues, or of those up to `most` only. Unknown residues are one more symbol.
 
     A window's entropy is log2(w) minus the mean of c*log2(c) over its symbols, which needs each symbol's count c only."""
-    c = codes(F.col(seq))
-    table = F.array(*[F.lit(n * math.log2(n) if n > 1 else 0.0) for n in range(w + 1)])
+    ship(sequences.sparkSession)
+    table = np.array([n * math.log2(n) if n > 1 else 0.0 for n in range(w + 1)])
 
-    def at(i: Column, c: Column) -> Column:
-        part = F.slice(c, i + 1, w)
-        counts = F.transform(F.array_distinct(part), lambda s: F.element_at(table, F.size(F.filter(part, lambda x: x == s)) + 1))
-        return math.log2(w) - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) / w
+    def kernel(part):
+        c, of = CODE[part[1]], owners(part[2])
+        n = max(0, len(c) - w + 1)
+        at = np.flatnonzero(of[:n] == of[w - 1 :][:n])
+        total = np.zeros(len(at))
+        for _, count in _counts(c, at, at + w):
+            total += table[count]
+        entropy = math.log2(w) - total / w
+        if most is not None:
+            keep = entropy <= most
+            at, entropy = at[keep], entropy[keep]
+        yield {"of": of[at], "pos": (at - part[2][of[at]]).astype(np.int32), "entropy": entropy}
 
-    listed = sequences.select(key, c.alias("c")).filter(F.size("c") >= w)
-    return listed.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("c") - w), lambda i: at(i, F.col("c")))).alias("pos", "entropy"))
+    return mapped(sequences, key, seq, kernel, "pos int, entropy double")
 
 
 def low_complexity(sequences: DataFrame, key: str, w: int = 12, low: float = 2.2, high: float = 2.5, seq: str = "seq") -> DataFrame:
     """key, start, end (exclusive) of masked stretches: runs of windows up to `high` that have one up to `low`, all their residues. Stretches
     that overlap are one. Gaps and islands within a sequence."""
     by = W.partitionBy(key).orderBy("pos")
-    near = entropies(sequences, key, w, seq).filter(F.col("entropy") <= high + 1e-12)
+    near = entropies(sequences, key, w, seq, high + 1e-12)
     runs = near.withColumn("run", F.col("pos") - F.row_number().over(by)).groupBy(key, "run").agg(F.min("pos").alias("start"), (F.max("pos") + w).alias("end"), F.min("entropy").alias("least"))
     masked = runs.filter(F.col("least") <= low + 1e-12)
     order = W.partitionBy(key).orderBy("start")
@@ -44,15 +62,17 @@ def bias(sequences: DataFrame, key: str, seq: str = "seq", radius: int = 20) ->
     """key, pos, delta: what a residue's mean score against the background exceeds its mean score against its neighbours by, rounded half away.
 
     Neighbours are [pos-radius, pos+radius) without pos itself, but the whole window's length divides. Scores against neighbours come from counts."""
-    mean = [sum(p * int(score_matrix()[a, b]) for b, p in enumerate(BACKGROUND)) for a in range(20)] + [-1.0 * sum(BACKGROUND)]
-    expected = F.array(*[F.lit(x) for x in mean])
-    c = codes(F.col(seq))
-
-    def at(r: Column, i: Column, c: Column) -> Column:
-        lo = F.greatest(i - radius, F.lit(0))
-        near = F.slice(c, lo + 1, F.least(i + radius, F.size(c)) - lo)
-        total = F.aggregate(near, F.lit(0), lambda s, x: s + score(r, x)) - score(r, r)
-        return F.round(F.element_at(expected, r + 1) - total / F.size(near)).cast("int")
-
-    listed = sequences.select(key, c.alias("c")).filter(F.size("c") > 0)
-    return listed.select(key, F.posexplode(F.transform("c", lambda r, i: at(r, i, F.col("c")))).alias("pos", "delta"))
+    ship(sequences.sparkSession)
+    m = score_matrix()
+    mean = np.append(m[:20, :20] @ np.array(BACKGROUND), -sum(BACKGROUND))
+
+    def kernel(part):
+        c, of = CODE[part[1]], owners(part[2])
+        at = np.arange(len(c))
+        low, high = np.maximum(at - radius, part[2][of]), np.minimum(at + radius, part[2][of + 1])
+        total = -m[c, c].astype(float)
+        for symbol, count in _counts(c, low, high):
+            total += m[c, symbol] * count
+        yield {"of": of, "pos": (at - part[2][of]).astype(np.int32), "delta": half_away(mean[c] - total / (high - low)).astype(np.int32)}
+
+    return mapped(sequences, key, seq, kernel, "pos int, delta int")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,20 +86,31 @@ def profile(msa: DataFrame, pca: float = PCA, pcb: float = PCB, bias: float = 0.
     return pssm(f, effective(msa, w, f), pca, pcb, bias, given)
 
 
-def column_scores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The score of each place of one profile against each of another: eight times the log-odds of giving the same residue, within ±128/127.
-
-    A place is one row with its twenty probabilities, so a pair of places is one row of a cross join and nothing is shuffled by pair."""
+def _wide(p: DataFrame, x: str) -> DataFrame:
+    """A row for each place, with its twenty probabilities."""
+    each = [F.coalesce(F.sum(F.when(F.col("code") == k, F.col("prob"))), F.lit(0.0)).alias(f"{x}{k}") for k in range(20)]
+    return p.groupBy("msa", "pos").agg(*each)
 
-    def wide(p: DataFrame, side: str, x: str) -> DataFrame:
-        each = [F.coalesce(F.sum(F.when(F.col("code") == k, F.col("prob"))), F.lit(0.0)).alias(f"{x}{k}") for k in range(20)]
-        return p.groupBy(F.col("msa").alias(f"{side}_msa"), F.col("pos").alias(f"{side}_pos")).agg(*each)
 
-    a = cut(wide(left, "left", "p").repartition(256, "left_msa", "left_pos"))
-    b = cut(wide(right, "right", "q"))
+def _pair_score() -> Column:
+    """Eight times the log-odds of two places p and q giving the same residue, within -128 and 127."""
     total = sum((F.col(f"p{k}") * F.col(f"q{k}") / F.lit(max(p, 1e-6)) for k, p in enumerate(BACKGROUND)), F.lit(0.0))
     value = F.round(8 * F.log2(F.greatest(total, F.lit(1e-6))))
-    return a.crossJoin(b).select("left_msa", "left_pos", "right_msa", "right_pos", F.greatest(F.lit(-128.0), F.least(F.lit(127.0), value)).cast("int").alias("score"))
+    return F.greatest(F.lit(-128.0), F.least(F.lit(127.0), value)).cast("int")
+
+
+def column_scores(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The score of each place of one profile against each of another. A pair of places is one row of a cross join, so this is for profiles, not
+    for databases of them."""
+    a = cut(_wide(left, "p").withColumnsRenamed({"msa": "left_msa", "pos": "left_pos"}).repartition("left_msa", "left_pos"))
+    b = cut(_wide(right, "q").withColumnsRenamed({"msa": "right_msa", "pos": "right_pos"}))
+    return a.crossJoin(b).select("left_msa", "left_pos", "right_msa", "right_pos", _pair_score().alias("score"))
+
+
+def facing_scores(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_msa, right_msa, pos, score: each place of the left profiles against the same place of each right one."""
+    a, b = _wide(left, "p").withColumnRenamed("msa", "left_msa"), _wide(right, "q").withColumnRenamed("msa", "right_msa")
+    return a.join(b, "pos").select("left_msa", "right_msa", "pos", _pair_score().alias("score"))
 
 
 assert math.isclose(sum(BACKGROUND), 1.0, abs_tol=1e-3)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.residues import codes, score_matrix
+from ..functions.arrow import mapped, owners
+from ..functions.residues import CODE, codes, score_matrix
+from ..plans.session import ship
 
 
 @dataclass(frozen=True)
@@ -55,17 +58,48 @@ def window_codes(code: Column, seed: Seed, masked: Column | None = None) -> Colu
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def coded(data: np.ndarray, off: np.ndarray, seed: Seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, place and code of every window, of all sequences at once, without an unknown residue."""
+    c, of = CODE[data], owners(off)
+    count = max(0, len(c) - seed.span + 1)
+    code, known = np.zeros(count, np.int64), np.ones(count, bool)
+    for p in seed.places:
+        r = c[p : p + count]
+        code = code * 20 + r
+        known &= r < 20
+    known &= of[:count] == of[seed.span - 1 :][:count]  # a window lies in one sequence
+    at = np.flatnonzero(known)
+    return of[at], at - off[of[at]], code[at]
+
+
 def windows(sequences: DataFrame, key: str, seq: str = "seq", seed: Seed = Seed(), masked: str | None = None) -> DataFrame:
     """key, pos, code of every window without an unknown or masked residue."""
-    extra = [masked] if masked else []
-    listed = sequences.select(key, codes(F.col(seq)).alias("c"), *extra)
-    each = listed.select(key, F.posexplode(window_codes(F.col("c"), seed, F.col(masked) if masked else None)).alias("pos", "code"))
+    if not masked:
+        ship(sequences.sparkSession)
+
+        def kernel(part):
+            of, pos, code = coded(part[1], part[2], seed)
+            yield {"of": of, "pos": pos.astype(np.int32), "code": code}
+
+        return mapped(sequences, key, seq, kernel, "pos int, code long")
+    listed = sequences.select(key, codes(F.col(seq)).alias("c"), masked)
+    each = listed.select(key, F.posexplode(window_codes(F.col("c"), seed, F.col(masked))).alias("pos", "code"))
     return each.filter("code IS NOT NULL")
 
 
 def index(targets: DataFrame, key: str, seq: str = "seq", seed: Seed = Seed()) -> DataFrame:
-    """One row for each code of a database: postings, first and last sequence."""
-    return windows(targets, key, seq, seed).groupBy("code").agg(F.count("*").alias("postings"), F.min(key).alias("first_target"), F.max(key).alias("last_target"))
+    """One row for each code of a database: postings, first and last sequence. A task adds up its own postings of some sequences before they are shuffled."""
+    ship(targets.sparkSession)
+
+    def kernel(part):
+        of, _, code = coded(part[1], part[2], seed)
+        order = np.lexsort((of, code))
+        of, code = of[order], code[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (of[1:] != of[:-1]))[: len(code)])
+        yield {"of": of[first], "code": code[first], "n": np.diff(first, append=len(code))}
+
+    counted = mapped(targets, key, seq, kernel, "code long, n long", 1 << 22)
+    return counted.groupBy("code").agg(F.sum("n").alias("postings"), F.min(key).alias("first_target"), F.max(key).alias("last_target"))
 
 
 def write_index(targets: DataFrame, key: str, table: str, seq: str = "seq", seed: Seed = Seed(), buckets: int = 64) -> None:

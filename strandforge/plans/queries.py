@@ -94,7 +94,7 @@ def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.index(v.targets(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {_T}, {_Q}, {_windows('tw', 't', 'doc_id')}, {_windows('qw', 'q', 'item_id')}, k AS (SELECT code FROM tw GROUP BY code HAVING count(*) <= 100) SELECT item_id, count(*) AS present FROM qw SEMI JOIN k USING (code) GROUP BY item_id")
+@query(f"WITH {_T}, {_Q}, {_windows('tw', 't', 'doc_id')}, {_windows('qw', 'q', 'item_id')}, k AS (SELECT DISTINCT code FROM tw) SELECT item_id, count(*) AS present FROM qw SEMI JOIN k USING (code) GROUP BY item_id")
 def seed_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = seeds.windows(v.targets(spark, sf_dir), "doc_id").select("code").distinct()
     return seeds.windows(v.queries(spark, sf_dir), "item_id").join(codes, "code", "left_semi").groupBy("item_id").agg(F.count("*").alias("present"))
@@ -154,13 +154,12 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def easysearch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item against every other, without a prefilter."""
-    q = v.queries(spark, sf_dir)
-    return writers.rounded(plan.easysearch(q, q.select(F.col("item_id").alias("target_id"), "seq"), "item_id", "target_id"))
+    """Every benchmark item, the stated queries, against every document, without a prefilter."""
+    return writers.rounded(plan.easysearch(v.queries(spark, sf_dir), v.targets(spark, sf_dir), "item_id", "doc_id"))
 
 
 @query(
-    f"WITH {_Q}, {_windows('qw', 'q', 'item_id', seeds.Seed.contiguous(3))}, k AS (SELECT DISTINCT code FROM qw), "
+    f"WITH {_T}, {_windows('tw', 't', 'doc_id', seeds.Seed.contiguous(3))}, k AS (SELECT DISTINCT code FROM tw), "
     f"r AS MATERIALIZED (SELECT a, b, {_MATRIX}[a * 21 + b + 1] AS s, row_number() OVER (PARTITION BY a ORDER BY {_MATRIX}[a * 21 + b + 1] DESC, b) AS r FROM range(20) x(a), range(20) y(b)), "
     "w1 AS MATERIALIZED (SELECT code, b AS n1, s AS s1, r AS r1 FROM k JOIN r ON r.a = code // 400), "
     "w2 AS MATERIALIZED (SELECT code, n1 * 20 + b AS n2, s1 + s AS s2, r1, r AS r2 FROM w1 JOIN r ON r.a = code // 20 % 20), "
@@ -168,43 +167,47 @@ def easysearch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT code, neighbour, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, r1, r2, r3) AS rank FROM w) WHERE rank <= 50"
 )
 def similar_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_long(seeds.similar(seeds.windows(v.queries(spark, sf_dir), "item_id", seed=seeds.Seed.contiguous(3)), 3, 12, 50).withColumnRenamed("similar", "neighbour"))
+    return _as_long(seeds.similar(seeds.windows(v.targets(spark, sf_dir), "doc_id", seed=seeds.Seed.contiguous(3)), 3, 12, 50).withColumnRenamed("similar", "neighbour"))
 
 
-_ENTROPY = f"""c AS (SELECT item_id, {_CODES} AS c FROM q WHERE length(seq) >= 12),
-w AS (SELECT item_id, i, unnest(c[i + 1:i + 12]) AS s FROM c, LATERAL (SELECT unnest(range(0, len(c) - 11)) AS i)),
-e AS (SELECT item_id, i, -sum(n / 12.0 * log2(n / 12.0)) AS h FROM (SELECT item_id, i, s, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL)"""
+_ENTROPY = f"""c AS (SELECT doc_id, {_CODES} AS c FROM t WHERE length(seq) >= 12),
+w AS (SELECT doc_id, i, unnest(c[i + 1:i + 12]) AS s FROM c, LATERAL (SELECT unnest(range(0, len(c) - 11)) AS i)),
+e AS (SELECT doc_id, i, -sum(n / 12.0 * log2(n / 12.0)) AS h FROM (SELECT doc_id, i, s, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL)"""
 
 
 @query(
-    f"WITH {_Q}, {_ENTROPY}, r AS (SELECT item_id, i - row_number() OVER (PARTITION BY item_id ORDER BY i) AS run, i, h FROM e WHERE h <= 2.5 + 1e-9), "
-    "m AS (SELECT item_id, min(i) AS s, max(i) + 12 AS e FROM r GROUP BY item_id, run HAVING min(h) <= 2.2 + 1e-9), "
-    "p AS (SELECT DISTINCT item_id, unnest(range(s, e)) AS p FROM m), "
-    "g AS (SELECT item_id, p, p - row_number() OVER (PARTITION BY item_id ORDER BY p) AS run FROM p) "
-    'SELECT item_id, min(p) AS start, max(p) + 1 AS "end" FROM g GROUP BY item_id, run'
+    f"WITH {_T}, {_ENTROPY}, r AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run, i, h FROM e WHERE h <= 2.5 + 1e-9), "
+    "m AS (SELECT doc_id, min(i) AS s, max(i) + 12 AS e FROM r GROUP BY doc_id, run HAVING min(h) <= 2.2 + 1e-9), "
+    "p AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS p FROM m), "
+    "g AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM p) "
+    'SELECT doc_id, min(p) AS start, max(p) + 1 AS "end" FROM g GROUP BY doc_id, run'
 )
 def low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_long(_joined(masking.low_complexity(v.queries(spark, sf_dir), "item_id")))
+    return _as_long(_joined(masking.low_complexity(v.targets(spark, sf_dir), "doc_id")))
 
 
 def _joined(stretches: DataFrame) -> DataFrame:
     """Stretches that touch made one."""
-    by = W.partitionBy("item_id").orderBy("start")
+    by = W.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") <= F.lag("end").over(by), 0).otherwise(1)
-    return stretches.withColumn("fresh", fresh).withColumn("k", F.sum("fresh").over(by)).groupBy("item_id", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+    return stretches.withColumn("fresh", fresh).withColumn("k", F.sum("fresh").over(by)).groupBy("doc_id", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
 
 
 _MEAN = "[" + ",".join(repr(sum(p * int(rs.score_matrix()[a, b]) for b, p in enumerate(rs.BACKGROUND))) if a < 20 else repr(-1.0 * sum(rs.BACKGROUND)) for a in range(21)) + "]"
 
 
 @query(
-    f"WITH {_Q}, c AS (SELECT item_id, {_CODES} AS c FROM q WHERE seq <> ''), p AS (SELECT item_id, c, i FROM c, LATERAL (SELECT unnest(range(0, len(c))) AS i)), "
-    f"n AS (SELECT item_id, i, c[i + 1] AS r, unnest(c[greatest(i - 20, 0) + 1:least(i + 20, len(c))]) AS x, least(i + 20, len(c)) - greatest(i - 20, 0) AS size FROM p), "
-    f"s AS (SELECT item_id, i, r, size, sum({_MATRIX}[r * 21 + x + 1]) - {_MATRIX}[r * 21 + r + 1] AS total FROM n GROUP BY item_id, i, r, size) "
-    f"SELECT item_id, i AS pos, CAST(round({_MEAN}[r + 1] - total / size) AS BIGINT) AS delta FROM s"
+    f"WITH {_T}, c AS (SELECT doc_id, {_CODES} AS c FROM t WHERE seq <> ''), p AS (SELECT doc_id, c, i FROM c, LATERAL (SELECT unnest(range(0, len(c))) AS i)), "
+    f"n AS (SELECT doc_id, i, c[i + 1] AS r, unnest(c[greatest(i - 20, 0) + 1:least(i + 20, len(c))]) AS x, least(i + 20, len(c)) - greatest(i - 20, 0) AS size FROM p), "
+    f"s AS (SELECT doc_id, i, r, size, sum({_MATRIX}[r * 21 + x + 1]) - {_MATRIX}[r * 21 + r + 1] AS total FROM n GROUP BY doc_id, i, r, size), "
+    f"d AS (SELECT doc_id, i, CAST(round({_MEAN}[r + 1] - total / size) AS BIGINT) AS delta FROM s) "
+    "SELECT doc_id, count(*) AS places, CAST(sum(delta) AS BIGINT) AS total, min(delta) AS least, max(delta) AS most, CAST(sum(delta * (i + 1)) AS BIGINT) AS moment FROM d GROUP BY doc_id"
 )
 def composition_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_long(masking.bias(v.queries(spark, sf_dir), "item_id"))
+    """The corrections of each document's places, summed up; the moment tells which place has which."""
+    delta, place = F.col("delta").cast("long"), F.col("pos") + 1
+    told = masking.bias(v.targets(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("places"), F.sum(delta).alias("total"), F.min(delta).alias("least"), F.max(delta).alias("most"), F.sum(delta * place).alias("moment"))
+    return told
 
 
 _S = st.WITH_BIAS
@@ -254,8 +257,8 @@ def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items, clustered."""
-    return clustering.clusters(v.queries(spark, sf_dir), "item_id")
+    """All documents, clustered."""
+    return clustering.clusters(v.targets(spark, sf_dir), "doc_id")
 
 
 _AA = f"""s AS (SELECT doc_id, length(nt) AS len, 1 AS sign, nt AS strand FROM n UNION ALL SELECT doc_id, length(nt), -1, reverse(translate(nt, 'ACGT', 'TGCA')) FROM n),
@@ -280,8 +283,8 @@ def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BG = "bg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({p} AS DOUBLE))" for i, p in enumerate(rs.BACKGROUND)) + ") x(code, background))"
 _R = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, CAST({float(rs.conditional()[a, b])!r} AS DOUBLE))" for a in range(20) for b in range(20)) + ") x(code, b, r))"
 _MSA = f"""a0 AS (SELECT lang AS msa, doc_id AS row, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents WHERE lang IS NOT NULL),
-msa AS (SELECT msa, row, pos, CASE WHEN pos < length(seq) THEN coalesce(nullif(strpos('{rs.ALPHABET}', substr(seq, CAST(pos AS INT) + 1, 1)), 0), 21) - 1 ELSE -1 END AS code
-  FROM (SELECT msa, row, substr(seq, 1, {v.COLUMNS}) AS seq FROM a0), range({v.COLUMNS}) p(pos)),
+a1 AS (SELECT msa, row, CASE WHEN seq = '' THEN [-1] ELSE {_CODES} END AS c FROM a0),
+msa AS MATERIALIZED (SELECT msa, row, unnest(range(len(c))) AS pos, unnest(c) AS code FROM a1),
 cells AS (SELECT msa, pos, code, count(*) AS n FROM msa WHERE code BETWEEN 0 AND 19 GROUP BY ALL),
 kinds AS (SELECT *, count(*) OVER (PARTITION BY msa, pos) AS kinds FROM cells),
 len AS (SELECT msa, row, count(*) FILTER (code >= 0) AS residues FROM msa GROUP BY ALL),
@@ -332,13 +335,14 @@ def pssm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_PSSM} SELECT a.msa AS left_msa, CAST(a.pos AS BIGINT) AS left_pos, b.msa AS right_msa, CAST(b.pos AS BIGINT) AS right_pos, "
+    f"WITH {_PSSM} SELECT a.msa AS left_msa, b.msa AS right_msa, CAST(a.pos AS BIGINT) AS pos, "
     "CAST(greatest(-128, least(127, round(8 * log2(greatest(sum(a.prob * b.prob / greatest(background, 1e-6)), 1e-6))))) AS BIGINT) AS score "
-    "FROM pssm a JOIN pssm b ON a.code = b.code AND a.msa < b.msa JOIN bg ON bg.code = a.code GROUP BY ALL"
+    "FROM pssm a JOIN pssm b ON a.code = b.code AND a.pos = b.pos AND a.msa < b.msa JOIN bg ON bg.code = a.code GROUP BY ALL"
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of each alignment against the same place of each other."""
     p = cut(profile.profile(v.msa(spark, sf_dir)))
-    return _as_long(profile.column_scores(p, p).filter("left_msa < right_msa"))
+    return _as_long(profile.facing_scores(p, p).filter("left_msa < right_msa"))
 
 
 _TAX = """tax AS (SELECT 1 AS taxid, 1 AS parent, 'root' AS rank, 'root' AS name UNION ALL SELECT r_regionkey + 10, 1, 'region', r_name FROM region
@@ -417,9 +421,9 @@ def eval_first_false(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.before_first_false(_ranked_hits(spark, sf_dir))
 
 
-@query(f"WITH {_Q} SELECT item_id, '>' || item_id || chr(10) || regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g') AS fasta FROM q")
+@query(f"WITH {_T} SELECT doc_id, md5('>' || doc_id || chr(10) || regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')) AS fasta_md5 FROM t")
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.fasta(v.queries(spark, sf_dir), "item_id").select("item_id", "fasta")
+    return writers.fasta(v.targets(spark, sf_dir), "doc_id").select("doc_id", F.md5(F.col("fasta").cast("binary")).alias("fasta_md5"))
 
 
 @query()

@@ -10,8 +10,6 @@ from .session import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
-#: What the SQL of the profile queries still reads of each document; nothing else uses it.
-COLUMNS = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

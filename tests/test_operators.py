@@ -87,6 +87,12 @@ def test_search_keeps_its_answer(spark):
     assert [r[1] for r in rows(search.search(q, t, "q", "t", max_hits=1, min_tcov=0.95))] == [1]
 
 
+def test_fasta_lines(spark):
+    df = spark.createDataFrame([(1, "A" * 60, "one first"), (2, "A" * 61, None), (3, "", "three")], "id long, seq string, header string")
+    assert [r[0] for r in writers.fasta(df, "id", header="header").orderBy("id").select("fasta").collect()] == [">one first\n" + "A" * 60, ">2\n" + "A" * 60 + "\nA", ">three\n"]
+    assert writers.fasta(df, "id", width=0).orderBy("id").first()["fasta"] == ">1\n" + "A" * 60
+
+
 def test_text_formats(spark):
     df = spark.createDataFrame([(8.378e-55,), (0.292,), (6.3579e-06,)], "e double")
     assert [r[0] for r in df.select(writers.short_exponent(F.col("e"))).collect()] == ["8.38e-55", "2.92e-1", "6.36e-6"]
@@ -110,5 +116,5 @@ def test_query(spark, name):
 
 def test_queries_without_sql(spark):
     hits = QUERIES["easysearch_hits"](spark, SMALL)
-    assert hits.count() > 0 and writers.m8(hits, "item_id", "target_id").columns == writers.M8
+    assert hits.count() > 0 and writers.m8(hits, "item_id", "doc_id").columns == writers.M8
     assert QUERIES["gumbel_by_source"](spark, SMALL).count() > 0

@@ -53,19 +53,22 @@ def test_profiles_read_all_letters(spark, folder):
     assert {(r["msa"], r["pos"], r["code"]) for r in QUERIES["pssm"](spark, folder).collect()} == freq.keys()
 
 
-def test_profile_columns_pairs_all_places(spark, folder):
+def test_profile_columns(spark, folder):
     from strandforge.operators import profile
     from strandforge.plans import views
 
     width = {lang: max(1, *map(len, held.values())) for lang, held in alignment().items()}
     prob = defaultdict(lambda: [0.0] * 20)
-    for r in profile.profile(views.msa(spark, folder)).collect():
+    made = profile.profile(views.msa(spark, folder))
+    for r in made.collect():
         prob[r["msa"], r["pos"]][r["code"]] = r["prob"]
-    got = {((r["left_msa"], r["left_pos"]), (r["right_msa"], r["right_pos"])): r["score"] for r in QUERIES["profile_columns"](spark, folder).collect()}
-    assert len(got) == sum(width[a] * width[b] for a in width for b in width if a < b)
-    for (a, b), score in got.items():
-        exact = 8 * math.log2(max(sum(x * y / max(g, 1e-6) for x, y, g in zip(prob[a], prob[b], rs.BACKGROUND)), 1e-6))
-        assert abs(max(-128, min(127, exact)) - score) <= 0.5 + 1e-6
+    exact = lambda a, b: 8 * math.log2(max(sum(x * y / max(g, 1e-6) for x, y, g in zip(prob[a], prob[b], rs.BACKGROUND)), 1e-6))
+    right = lambda a, b, score: abs(max(-128, min(127, exact(a, b))) - score) <= 0.5 + 1e-6
+    got = QUERIES["profile_columns"](spark, folder).collect()
+    assert len(got) == sum(min(width[a], width[b]) for a in width for b in width if a < b)
+    assert all(right((r["left_msa"], r["pos"]), (r["right_msa"], r["pos"]), r["score"]) for r in got)
+    got = profile.column_scores(made.filter("msa = 'fr'"), made.filter("msa = 'de'")).collect()
+    assert len(got) == width["fr"] * width["de"] and all(right((r["left_msa"], r["left_pos"]), (r["right_msa"], r["right_pos"]), r["score"]) for r in got)
 
 
 def test_frequent_seeds_are_present(spark, tmp_path):
