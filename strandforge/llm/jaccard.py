@@ -17,7 +17,8 @@ linked documents of n and m shingles is at most d = (n + m)(den - num)/(den + nu
   numbers and their aggregates merged. A crowded block that the sample misses is sorted in one task, with the same result.
 * Buckets of the same members are one: documents that share a passage share many blocks.
 * Stars, then the rest. In a block's bucket every set is held against the smallest, the largest and a drawn one, which settles
-  buckets of three and nearly all of groups of copies: sets of one component need no more comparison. What is left, sets of different
+  buckets of three and nearly all of groups of copies: sets of one component need no more comparison. Buckets of several components get TURNS turns
+  of more stars, all of a turn at once. What is left, sets of different
   components that share a bucket and weren't compared, is compared in full. So no link between components is lost, and groups of
   copies need a few comparisons a member. Equal sets are one node from the start.
 * Verify. Narrow sketches (4 to 1 bits a shingle; in the last comparison 16 to 4) drop pairs whose Hamming distance is over d; what stays is counted exactly,
@@ -44,6 +45,8 @@ WIDE = 16
 SAMPLE, LEAST_CROWDED, CROWDED, SUBS = 64, 16, 4096, 64
 #: The drawn set of a bucket is the one nearest to this number.
 DRAW = 0x5DEECE66D1A4B3C7
+#: Turns of further stars for buckets of several components, and drawn sets of each.
+TURNS, DRAWS = 2, 3
 #: Digests of sets that a task remembers, to emit equal sets once.
 REMEMBER = 1 << 18
 HOT, LEAST_HOT, WINDOW = 2_000_000, 4, 1 << 20
@@ -318,6 +321,11 @@ def _verified(close: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scrat
     return scratch.save(close.filter(shared * den >= (total - shared) * num).select("a", "b").distinct())
 
 
+def _drawn(turn: int, j: int) -> int:
+    """The number that a turn's j-th drawn set is nearest to."""
+    return DRAW * (2 * (turn * DRAWS + j) + 3) & (1 << 63) - 1
+
+
 def _pair(p: str, q: str) -> list:
     return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
 
@@ -386,15 +394,30 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = nodes.filter("n > 0").join(buckets.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(alone).alias("r"))
     reps = scratch.save(reps.select("sid", "r.doc_id", "r.n", "r.band", "r.own", "r.next"))
 
-    stars = buckets.select("sid", F.explode(F.array_distinct(F.array("centre", "last", "drawn"))).alias("star")).filter("sid != star").select(*_pair("sid", "star")).distinct()
-    close = scratch.save(stars.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").filter(_close(num, den)).select("a", "b"))
-    edges = _verified(close, raw, reps, scratch, k, num, den)
-    labels = components(edges, scratch)
-
-    known = buckets.filter("m > 3").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    known = scratch.save(known)
-    split = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-    rest = scratch.save(known.filter("sid != centre AND sid != last AND sid != drawn").join(split, "key", "left_semi").select("key", "sid", "comp"))
+    def links(pairs: DataFrame) -> DataFrame:
+        close = scratch.save(pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").filter(_close(num, den)).select("a", "b"))
+        return _verified(close, raw, reps, scratch, k, num, den)
+
+    stars = buckets.select("sid", F.explode(F.array_distinct(F.array("centre", "last", "drawn"))).alias("star")).filter("sid != star")
+    edges = links(stars.select(*_pair("sid", "star")).distinct())
+    labels, known = components(edges, scratch), buckets.filter("m > 3")
+    for turn in range(TURNS + 1):
+        placed = scratch.save(known.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+        draws = [F.min(F.col("sid").bitwiseXOR(F.lit(_drawn(turn, j)))).bitwiseXOR(F.lit(_drawn(turn, j))) for j in range(DRAWS)]
+        # one more from the component that comes last: draws from all of a bucket are mostly of its largest one
+        stars = F.array_distinct(F.array(*draws, F.max(F.struct("comp", "sid"))["sid"])).alias("stars")
+        split = scratch.save(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), stars).filter("low != high").select("key", "stars"))
+        if turn == TURNS or split.isEmpty():
+            break
+        pairs = placed.join(split, "key").select("sid", "comp", F.explode("stars").alias("star"))
+        pairs = pairs.join(labels.select(F.col("v").alias("star"), F.col("comp").alias("other")), "star", "left").filter(F.col("comp") != F.coalesce("other", "star"))
+        found = links(pairs.select(*_pair("sid", "star")).distinct())
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        labels = components(edges, scratch)
+    rest = placed.filter("sid != centre AND sid != last AND sid != drawn").join(split.select("key"), "key", "left_semi").select("key", "sid", "comp")
+    rest = scratch.save(rest)
     ids = scratch.save(reps.join(rest.select("sid").distinct(), "sid", "left_semi").select("doc_id"))
     wide = scratch.save(_picked(raw, ids).select("text").mapInArrow(_sketches(k, num, den, WIDE), "sid long, n long, band int, own array<long>, next array<long>"))
     p, q = (rest.select("key", F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}")).join(_side(wide, x), x) for x in "ab")
