@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,21 +23,53 @@ def _counts(c: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[
         yield symbol, run[high] - run[low]
 
 
-def entropies(sequences: DataFrame, key: str, w: int = 12, seq: str = "seq", most: float | None = None) -> DataFrame:
-    """key, pos, entropy (bits) of every window of w residues, or of those up to `most` only. Unknown residues are one more symbol.
+def _window_entropies(c: np.ndarray, off: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window of w residues of one sequence begins, and its entropy: log2(w) less the mean of n*log2(n) over its symbols' counts n."""
+    table = np.array([n * math.log2(n) if n > 1 else 0.0 for n in range(w + 1)])
+    of, n = owners(off), max(0, len(c) - w + 1)
+    at = np.flatnonzero(of[:n] == of[w - 1 :][:n])
+    total = np.zeros(len(at))
+    for _, count in _counts(c, at, at + w):
+        total += table[count]
+    return at, math.log2(w) - total / w
+
+
+def hidden(data: np.ndarray, off: np.ndarray, w: int = 12, low: float = 2.2, high: float = 2.5) -> np.ndarray:
+    """Which places of all sequences lie in a masked stretch, as low_complexity has them."""
+    at, entropy = _window_entropies(CODE[data], off, w)
+    near = entropy <= high + 1e-12
+    at, entropy = at[near], entropy[near]
+    out = np.zeros(len(data) + 1, np.int64)
+    if len(at):
+        of = owners(off)
+        first = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (of[at[1:]] != of[at[:-1]])))
+        masked = np.minimum.reduceat(entropy, first) <= low + 1e-12
+        np.add.at(out, at[first][masked], 1)
+        np.add.at(out, at[np.append(first[1:], len(at)) - 1][masked] + w, -1)
+    return np.cumsum(out[:-1]) > 0
+
+
+def softened(sequences: DataFrame, key: str, w: int = 15, low: float = 2.3, high: float = 2.3, seq: str = "seq") -> DataFrame:
+    """key, seq with masked stretches in small letters and all others in capitals."""
+    ship(sequences.sparkSession)
+
+    def kernel(part):
+        _, data, off = part
+        capital = np.where((data >= 97) & (data <= 122), data - 32, data)
+        text = np.where(hidden(capital, off, w, low, high) & (capital >= 65) & (capital <= 90), capital + 32, capital).astype(np.uint8)
+        found = pa.array([text[a:b].tobytes().decode("utf-8") for a, b in zip(off, off[1:])], pa.string())
+        yield {"of": np.arange(len(off) - 1), seq: found}
+
+    return mapped(sequences, key, seq, kernel, f"{seq} string")
 
-    A window's entropy is log2(w) minus the mean of c*log2(c) over its symbols, which needs each symbol's count c only."""
+
+def entropies(sequences: DataFrame, key: str, w: int = 12, seq: str = "seq", most: float | None = None) -> DataFrame:
+    """key, pos, entropy (bits) of every window of w residues, or of those up to `most` only. Unknown residues are one more symbol."""
     ship(sequences.sparkSession)
-    table = np.array([n * math.log2(n) if n > 1 else 0.0 for n in range(w + 1)])
 
     def kernel(part):
-        c, of = CODE[part[1]], owners(part[2])
-        n = max(0, len(c) - w + 1)
-        at = np.flatnonzero(of[:n] == of[w - 1 :][:n])
-        total = np.zeros(len(at))
-        for _, count in _counts(c, at, at + w):
-            total += table[count]
-        entropy = math.log2(w) - total / w
+        of = owners(part[2])
+        at, entropy = _window_entropies(CODE[part[1]], part[2], w)
         if most is not None:
             keep = entropy <= most
             at, entropy = at[keep], entropy[keep]
@@ -58,21 +91,26 @@ def low_complexity(sequences: DataFrame, key: str, w: int = 12, low: float = 2.2
     return masked.withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def bias(sequences: DataFrame, key: str, seq: str = "seq", radius: int = 20) -> DataFrame:
-    """key, pos, delta: what a residue's mean score against the background exceeds its mean score against its neighbours by, rounded half away.
+def corrections(c: np.ndarray, off: np.ndarray, radius: int = 20) -> np.ndarray:
+    """For each place of all sequences what its residue's mean score against the background exceeds its mean score against its neighbours by, rounded half away.
 
     Neighbours are [pos-radius, pos+radius) without pos itself, but the whole window's length divides. Scores against neighbours come from counts."""
-    ship(sequences.sparkSession)
     m = score_matrix()
     mean = np.append(m[:20, :20] @ np.array(BACKGROUND), -sum(BACKGROUND))
+    at, of = np.arange(len(c)), owners(off)
+    low, high = np.maximum(at - radius, off[of]), np.minimum(at + radius, off[of + 1])
+    total = -m[c, c].astype(float)
+    for symbol, count in _counts(c, low, high):
+        total += m[c, symbol] * count
+    return half_away(mean[c] - total / (high - low)).astype(np.int64)
+
+
+def bias(sequences: DataFrame, key: str, seq: str = "seq", radius: int = 20) -> DataFrame:
+    """key, pos, delta: each place's correction."""
+    ship(sequences.sparkSession)
 
     def kernel(part):
-        c, of = CODE[part[1]], owners(part[2])
-        at = np.arange(len(c))
-        low, high = np.maximum(at - radius, part[2][of]), np.minimum(at + radius, part[2][of + 1])
-        total = -m[c, c].astype(float)
-        for symbol, count in _counts(c, low, high):
-            total += m[c, symbol] * count
-        yield {"of": of, "pos": (at - part[2][of]).astype(np.int32), "delta": half_away(mean[c] - total / (high - low)).astype(np.int32)}
+        of = owners(part[2])
+        yield {"of": of, "pos": (np.arange(len(of)) - part[2][of]).astype(np.int32), "delta": corrections(CODE[part[1]], part[2], radius).astype(np.int32)}
 
     return mapped(sequences, key, seq, kernel, "pos int, delta int")

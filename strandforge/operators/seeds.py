@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrow import mapped, owners
-from ..functions.residues import CODE, codes, score_matrix
+from ..functions.residues import CODE, score_matrix
 from ..plans.session import ship
+from .masking import hidden
+
+#: Window, low and high entropy of what is masked.
+Mask = tuple[int, float, float]
 
 
 @dataclass(frozen=True)
@@ -41,50 +47,29 @@ class Seed:
         return len(self.mask)
 
 
-def window_codes(code: Column, seed: Seed, masked: Column | None = None) -> Column:
-    """The code of the window at each place, null where a counted residue is unknown or masked. Arrays, since slicing long strings by
-    place costs the whole prefix each time."""
-    last = F.size(code) - seed.span
-
-    def at(i: Column) -> Column:
-        value, known = F.lit(0).cast("long"), F.lit(True)
-        for p in seed.places:
-            r = F.get(code, i + p)
-            value, known = value * 20 + r, known & (r < 20)
-            if masked is not None:
-                known = known & ~F.get(masked, i + p)
-        return F.when(known, value)
-
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<bigint>"))
-
-
-def coded(data: np.ndarray, off: np.ndarray, seed: Seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence, place and code of every window, of all sequences at once, without an unknown residue."""
+def coded(data: np.ndarray, off: np.ndarray, seed: Seed, mask: Mask | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, place and code of every window, of all sequences at once, whose counted residues are known and not masked."""
     c, of = CODE[data], owners(off)
     count = max(0, len(c) - seed.span + 1)
     code, known = np.zeros(count, np.int64), np.ones(count, bool)
+    good = c < 20 if mask is None else (c < 20) & ~hidden(data, off, *mask)
     for p in seed.places:
-        r = c[p : p + count]
-        code = code * 20 + r
-        known &= r < 20
+        code = code * 20 + c[p : p + count]
+        known &= good[p : p + count]
     known &= of[:count] == of[seed.span - 1 :][:count]  # a window lies in one sequence
     at = np.flatnonzero(known)
     return of[at], at - off[of[at]], code[at]
 
 
-def windows(sequences: DataFrame, key: str, seq: str = "seq", seed: Seed = Seed(), masked: str | None = None) -> DataFrame:
-    """key, pos, code of every window without an unknown or masked residue."""
-    if not masked:
-        ship(sequences.sparkSession)
+def windows(sequences: DataFrame, key: str, seq: str = "seq", seed: Seed = Seed(), mask: Mask | None = None) -> DataFrame:
+    """key, pos, code of every window without an unknown residue or one of low complexity (mask: window, low and high entropy; None masks nothing)."""
+    ship(sequences.sparkSession)
 
-        def kernel(part):
-            of, pos, code = coded(part[1], part[2], seed)
-            yield {"of": of, "pos": pos.astype(np.int32), "code": code}
+    def kernel(part):
+        of, pos, code = coded(part[1], part[2], seed, mask)
+        yield {"of": of, "pos": pos.astype(np.int32), "code": code}
 
-        return mapped(sequences, key, seq, kernel, "pos int, code long")
-    listed = sequences.select(key, codes(F.col(seq)).alias("c"), masked)
-    each = listed.select(key, F.posexplode(window_codes(F.col("c"), seed, F.col(masked))).alias("pos", "code"))
-    return each.filter("code IS NOT NULL")
+    return mapped(sequences, key, seq, kernel, "pos int, code long")
 
 
 def index(targets: DataFrame, key: str, seq: str = "seq", seed: Seed = Seed()) -> DataFrame:
@@ -102,9 +87,9 @@ def index(targets: DataFrame, key: str, seq: str = "seq", seed: Seed = Seed()) -
     return counted.groupBy("code").agg(F.sum("n").alias("postings"), F.min(key).alias("first_target"), F.max(key).alias("last_target"))
 
 
-def write_index(targets: DataFrame, key: str, table: str, seq: str = "seq", seed: Seed = Seed(), buckets: int = 64) -> None:
-    """The postings as a table bucketed and sorted by code, so that searches join it without a shuffle."""
-    windows(targets, key, seq, seed).write.mode("overwrite").bucketBy(buckets, "code").sortBy("code", key, "pos").saveAsTable(table)
+def write_index(targets: DataFrame, key: str, table: str, seq: str = "seq", seed: Seed = Seed(), mask: Mask | None = None, buckets: int = 64) -> None:
+    """The postings as a table bucketed and sorted by code, so that searches that are given it join it without a shuffle."""
+    windows(targets, key, seq, seed, mask).write.mode("overwrite").bucketBy(buckets, "code").sortBy("code", key, "pos").saveAsTable(table)
 
 
 def capped(postings: DataFrame, most: int) -> DataFrame:
@@ -115,14 +100,15 @@ def capped(postings: DataFrame, most: int) -> DataFrame:
     return postings.join(frequent, "code", "left_anti")
 
 
-def hits(query_windows: DataFrame, target_windows: DataFrame, q: str, t: str) -> DataFrame:
-    """Seed hits by (query, target, diagonal): how many, first and last query place."""
+def hits(query_windows: DataFrame, target_windows: DataFrame, q: str, t: str, places: bool = False) -> DataFrame:
+    """Seed hits by (query, target, diagonal): how many, first and last query place; with places, all of them in order (a query's length at most)."""
     left = query_windows.select(q, F.col("pos").alias("qpos"), "code")
     right = target_windows.select(t, F.col("pos").alias("tpos"), "code")
+    more = [F.sort_array(F.collect_list("qpos")).alias("places")] if places else []
     return (
         left.join(right, "code")
         .groupBy(q, t, (F.col("tpos") - F.col("qpos")).alias("diag"))
-        .agg(F.count("*").alias("hits"), F.min("qpos").alias("qmin"), F.max("qpos").alias("qmax"))
+        .agg(F.count("*").alias("hits"), F.min("qpos").alias("qmin"), F.max("qpos").alias("qmax"), *more)
     )
 
 
@@ -136,21 +122,56 @@ def top_diagonals(diagonals: DataFrame, q: str, t: str, most: int = 4, min_hits:
     return ranked.filter(F.col("rank") <= most)
 
 
-def similar(kmers: DataFrame, k: int, threshold: int, most: int) -> DataFrame:
-    """code, similar, score, rank: for each distinct contiguous k-mer code the `most` best k-mers that score `threshold` or more against it; ties
-    by the residues' ranks at each place (by score, then residue), first place first.
-
-    Places are filled one after another, and what can't reach the threshold any more is dropped at once."""
-    spark = kmers.sparkSession
-    m = score_matrix()
-    table = [(a, r, int(b), int(m[a, b])) for a in range(20) for r, b in enumerate(sorted(range(20), key=lambda b: (-m[a, b], b)))]
-    letters = F.broadcast(spark.createDataFrame(table, "a int, r int, b int, s int"))
-    best = F.array(*[F.lit(int(m[a, :20].max())) for a in range(20)])
-    place = [F.pmod(F.floor(F.col("code") / 20 ** (k - 1 - i)), F.lit(20)).cast("int") for i in range(k)]
-    rows = kmers.select("code").distinct().select("code", F.array(*place).alias("p"), F.lit(0).cast("long").alias("similar"), F.lit(0).alias("score"), F.array().cast("array<int>").alias("ranks"))
+def nearest(rows: np.ndarray, threshold: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and scores of the `most` best words that score `threshold` or more against rows (place, residue); ties by the residues' ranks at each
+    place (by score, then residue), first place first.
+
+    How many words have which score is known from the places' histograms, multiplied as polynomials. So the score of the last word that counts is
+    known before any word is made, and each partial word that is kept ends in one that counts or ties."""
+    k, low = len(rows), int(rows.min())
+    ranked = np.argsort(-rows, axis=1, kind="stable")
+    gain = np.take_along_axis(rows, ranked, 1)
+    ways = np.ones(1)
+    for r in rows:
+        ways = np.convolve(ways, np.bincount(r - low))
+    upto = np.cumsum(ways[::-1])[::-1]  # how many words score k * low + i or more
+    enough = np.flatnonzero(upto >= most)
+    least = max(threshold, k * low + int(enough[-1])) if len(enough) else threshold
+    rest = np.append(np.cumsum(gain[::-1, 0])[::-1], 0)
+    code, score, order = (np.zeros(1, np.int64) for _ in range(3))
     for i in range(k):
-        rest = sum((F.element_at(best, F.col("p")[j] + 1) for j in range(i + 1, k)), F.lit(0))
-        grown = rows.join(letters, F.col("p")[i] == F.col("a"))
-        rows = grown.select("code", "p", (F.col("similar") * 20 + F.col("b")).alias("similar"), (F.col("score") + F.col("s")).alias("score"), F.array_append("ranks", F.col("r")).alias("ranks")).filter(F.col("score") + rest >= threshold)
-    order = W.partitionBy("code").orderBy(F.desc("score"), "ranks")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("code", "similar", "score", "rank")
+        total = score[:, None] + gain[i]
+        at, rank = np.nonzero(total + rest[i + 1] >= least)
+        code, score, order = code[at] * 20 + ranked[i][rank], total[at, rank], order[at] * 20 + rank
+    best = np.lexsort((order, -score))[:most]
+    return code[best], score[best]
+
+
+def similar(kmers: DataFrame, k: int, threshold: int, most: int, own: bool = False) -> DataFrame:
+    """code, similar, score, rank: the nearest words of each distinct contiguous k-mer code; with own, the code itself too where it isn't among them (last rank)."""
+    spark = ship(kmers.sparkSession)
+    m = score_matrix()[:20, :20].astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("code").to_numpy()
+            for at in range(0, len(codes), 64):
+                found = []
+                for code in codes[at : at + 64].tolist():
+                    rows = m[[code // 20**p % 20 for p in range(k - 1, -1, -1)]]
+                    near, score = nearest(rows, threshold, most)
+                    if own and code not in near:
+                        near, score = np.append(near, code), np.append(score, rows.max(1).sum())
+                    found.append((np.full(len(near), code), near, score, np.arange(1, len(near) + 1, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["code", "similar", "score", "rank"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # few bytes, much work
+    return kmers.select("code").repartition(tasks, "code").distinct().mapInArrow(run, "code long, similar long, score long, rank int")
+
+
+def query_seeds(query_windows: DataFrame, q: str, seed: Seed, threshold: int, most: int, own: bool = True) -> DataFrame:
+    """q, pos, code: the words near each window of the queries. most = 0 takes the windows' own codes only."""
+    if not most:
+        return query_windows.select(q, "pos", "code")
+    near = similar(query_windows, seed.weight, threshold, most, own).select("code", "similar")
+    return query_windows.join(near, "code").select(q, "pos", F.col("similar").alias("code"))

@@ -13,6 +13,7 @@ from ..functions import residues as rs
 from ..functions import statistics as st
 from ..operators import clustering, evaluation, masking, profile, seeds, shards, taxonomy, translation, ungapped
 from ..sources import writers
+from . import commands
 from . import search as plan
 from . import views as v
 from .session import cut
@@ -142,8 +143,9 @@ def chain_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM s LEFT JOIN c USING (item_id, doc_id), gate WHERE greatest(single, coalesce(chain, single)) >= g"
 )
 def prefilter_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates by exact words, nothing masked."""
     t = v.targets(spark, sf_dir)
-    return _as_long(plan.prefilter(v.queries(spark, sf_dir), t, "item_id", "doc_id", plan.Options(), plan.totals(t)[0]))
+    return _as_long(plan.prefilter(v.queries(spark, sf_dir), t, "item_id", "doc_id", plan.Options(max_kmers=0, mask=None), plan.totals(t)[0]))
 
 
 @query()
@@ -152,6 +154,30 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.rounded(plan.search(v.queries(spark, sf_dir), v.targets(spark, sf_dir), "item_id", "doc_id"))
 
 
+@query()
+def translated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading frames of the benchmark's items as nucleotides, searched among the reading frames of all documents."""
+    items = v.queries(spark, sf_dir).select("item_id", F.translate("seq", v.UPPER, v.BASES).alias("nt"))
+    frames = translation.orfs(v.nucleotides(spark, sf_dir), "doc_id")
+    targets = cut(frames.select(F.concat(F.col("doc_id").cast("string"), F.lit("_f"), "frame", F.lit("_"), "nt_start").alias("target"), F.col("aa").alias("seq")))
+    return writers.rounded(commands.translatesearch(items, targets, "item_id", "target"))
+
+
+@query()
+def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item with the documents that it finds laid against it."""
+    q, t = v.queries(spark, sf_dir), v.targets(spark, sf_dir)
+    return commands.result2msa(plan.search(q, t, "item_id", "doc_id"), q, t, "item_id", "doc_id")
+
+
+@query()
+def hits_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items classified by the nations of the documents that they find; a document's nation follows from its number."""
+    q, t = v.queries(spark, sf_dir), v.targets(spark, sf_dir)
+    taxa = t.select("doc_id", (F.pmod("doc_id", F.lit(25)) + 100).alias("taxid"))
+    return commands.classify(plan.search(q, t, "item_id", "doc_id"), q, taxa, v.taxonomy(spark, sf_dir), "item_id", "doc_id", 0.1)
+
+
 @query()
 def easysearch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item, the stated queries, against every document, without a prefilter."""
