@@ -82,8 +82,8 @@ def test_search_keeps_its_answer(spark):
     q = spark.createDataFrame([(7, base), (8, "")], "q long, seq string")
     one = rows(search.search(q, t, "q", "t"))
     assert one == rows(search.search(q.repartition(3), t.repartition(5), "q", "t"))
-    assert [r[1] for r in sorted(one, key=lambda r: r[-1])] == [0, 1]
-    assert {r[1] for r in rows(search.easysearch(q, t, "q", "t"))} >= {0, 1}
+    assert [r[1] for r in sorted(one, key=lambda r: r[-1])] == [0, 1, 2]  # 2 shares eight residues, E 9e-5; no exact seed spans them
+    assert rows(search.easysearch(q, t, "q", "t")) == one
     assert [r[1] for r in rows(search.search(q, t, "q", "t", max_hits=1, min_tcov=0.95))] == [1]
 
 
