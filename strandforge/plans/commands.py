@@ -1,13 +1,15 @@
-"""What a user asks for by name, beside search: translated search, aligned rows, taxonomy of hits, pairwise alignment."""
+"""What a user asks for by name, beside search: translated search, aligned rows, taxonomy of hits, pairwise alignment, databases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.residues import ALPHABET
 from ..operators import alignment, taxonomy, translation
 from ..operators.alignment import Scoring
-from ..sources.writers import a3m_row
+from ..sources import database
+from ..sources.writers import a3m_row, write_fasta
 from .search import search, totals
 from .session import cut, ship
 
@@ -32,6 +34,27 @@ def result2msa(hits: DataFrame, queries: DataFrame, targets: DataFrame, q: str,
     return laid.unionByName(asked.select(q, F.lit(0).alias("line"), F.lit(None).cast(targets.schema[t].dataType).alias("target"), F.col("qseq").alias("row")))
 
 
+def family(hits: DataFrame, queries: DataFrame, targets: DataFrame, q: str, t: str) -> DataFrame:
+    """msa (the query), row (its line), pos, code of queries and the hits laid against them, as profiles are built from."""
+    laid = result2msa(hits, queries, targets, q, t)
+    letters = laid.select(F.col(q).alias("msa"), F.col("line").alias("row"), F.posexplode(F.split(F.regexp_replace("row", "[a-z]", ""), "")).alias("pos", "letter"))
+    code = F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), F.col("letter")), F.lit(0)), F.lit(21)) - 1
+    return letters.filter("letter NOT IN ('-', '')").select("msa", "row", "pos", code.alias("code"))
+
+
+def createdb(spark: SparkSession, source: str, path: str, nucleotide: bool = False) -> tuple[int, list[str]]:
+    """Writes FASTA or a database as a database; how many entries it has, and warnings."""
+    found, warnings = database.load(spark, source, nucleotide)
+    return database.write(found, "ordinal", path, "header", nucleotide, source.rstrip("/").rsplit("/", 1)[-1]), warnings
+
+
+def convert2fasta(spark: SparkSession, source: str, path: str, nucleotide: bool = False) -> list[str]:
+    """Writes a database or FASTA as FASTA, a line a sequence with its whole header; warnings."""
+    found, warnings = database.load(spark, source, nucleotide)
+    write_fasta(found.orderBy("ordinal"), "ordinal", path, 0, "header")
+    return warnings
+
+
 def align(query: DataFrame, targets: DataFrame, q: str, t: str) -> DataFrame:
     """The best local alignment of one query, without composition bias, with each target that has one with a score above 0."""
     if query.count() != 1:

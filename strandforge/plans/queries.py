@@ -13,7 +13,7 @@ from ..functions import residues as rs
 from ..functions import statistics as st
 from ..operators import clustering, evaluation, masking, profile, seeds, shards, taxonomy, translation, ungapped
 from ..sources import writers
-from . import commands
+from . import commands, profiles
 from . import search as plan
 from . import views as v
 from .session import cut
@@ -178,6 +178,20 @@ def hits_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.classify(plan.search(q, t, "item_id", "doc_id"), q, taxa, v.taxonomy(spark, sf_dir), "item_id", "doc_id", 0.1)
 
 
+@query()
+def profile_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items as one alignment, searched among all documents, and again with what it found."""
+    return writers.rounded(profiles.profilesearch(v.items_msa(spark, sf_dir), v.targets(spark, sf_dir), "doc_id", rounds=2))
+
+
+@query()
+def profile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item with the documents that it finds as an alignment, each aligned with each."""
+    q, t = v.queries(spark, sf_dir).filter("seq != ''"), v.targets(spark, sf_dir)
+    families = cut(commands.family(plan.search(q, t, "item_id", "doc_id"), q, t, "item_id", "doc_id"))
+    return writers.rounded(profiles.profileprofile(families, families))
+
+
 @query()
 def easysearch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item, the stated queries, against every document, without a prefilter."""

@@ -37,6 +37,12 @@ def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("msa", "row", F.posexplode(place).alias("pos", "code"))
 
 
+def items_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items, from their first letters on, as one alignment."""
+    items = queries(spark, sf_dir).filter("seq != ''")
+    return items.select(F.lit("benchmark").alias("msa"), F.col("item_id").alias("row"), F.posexplode(codes(F.col("seq"))).alias("pos", "code"))
+
+
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taxid, parent, rank, name: a root, regions, nations and suppliers."""
     t = lambda name: table(spark, sf_dir, name)
