@@ -20,7 +20,7 @@ from ..operators import alignment, profile, seeds, ungapped
 from ..operators.alignment import Scoring
 from ..operators.kernels import sw_ends, table_path
 from ..sources.writers import a3m_row
-from .search import Options, evidence, totals
+from .search import Options, evidence, paired, totals
 from .session import cut, ship
 
 # What gaps cost in eighths of a bit, and lambda and K where a calibration has no fit.
@@ -147,13 +147,14 @@ def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, seque
     asked = cut(profiles.join(known, "msa").select("msa", F.col("profile").alias("qseq"), space.alias("space"), least.alias("least"), "lam", "k"))
     texts = targets.select(t, F.col("seq").alias("tseq"))
     if options.exhaustive:
-        pairs = texts.crossJoin(asked).filter("tseq != ''")
+        found = None
     else:
         seed = seeds.Seed(options.spaced)
         segs = evidence(words(profiles, seed, *options.words), asked.select("msa", F.col("qseq").alias("seq")), targets, "msa", t, seed, options, SCORING, index)
         found = ungapped.candidates(segs, "msa", t, options.min_diag_score, options.max_candidates, GAPS, ranked=False)
-        pairs = found.select("msa", t).join(asked, "msa").join(texts, t)
-    return alignment.aligned(pairs, "msa", t, SCORING, options.evalue, options.min_qcov, options.min_tcov, options.max_hits)
+        found = found.select("msa", t)
+    pairs, spread = paired(found, asked, texts.filter("tseq != ''"), "msa", t)
+    return alignment.aligned(pairs, "msa", t, SCORING, options.evalue, options.min_qcov, options.min_tcov, options.max_hits, spread)
 
 
 def hit_rows(hits: DataFrame, targets: DataFrame, t: str) -> DataFrame:
