@@ -277,11 +277,26 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return likely.select(docs.columns).join(ids, "doc_id", "left_semi")
 
 
+#: How often edges are hooked before their labels are found.
+HOOKS = 3
+
+
+def hooked(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same ends, fewer of them: all smaller neighbours of an end, and the end itself, are tied to the smallest one
+    of these alone. So members that share their stars keep an edge each, and the stars' own edges are few."""
+    least = F.min("a").over(W.partitionBy("b"))
+    tied = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").select("a", "b", least.alias("m"))
+    return tied.select("m", F.explode(F.array("a", "b")).alias("b")).filter("m != b").select(F.col("m").alias("a"), "b").distinct()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, comp) for each end of edges (a, b): comp is the smallest v that can be reached.
 
-    Every round takes the least label among neighbours and then that label's own label, so paths halve. Labels only
+    The edges are hooked first, so that what follows grows with the ends and not with the edges between them. Every round takes the least label among neighbours and then that label's own label, so paths halve. Labels only
     fall, so a round that leaves their sum as it was is the last."""
+    edges = edges.filter("a != b")
+    for _ in range(HOOKS):
+        edges = hooked(edges)
     both = scratch.save(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct())
     labels, was = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("comp")), None
     labels = scratch.save(labels)
