@@ -120,8 +120,12 @@ def candidates(segs: DataFrame, q: str, t: str, gate: int, most: int = 0, gaps:
     best = segs.groupBy(q, t).agg(F.max("score").alias("single"), F.sum("hits").alias("hits"))
     chained = chains(segs, q, t, *gaps).groupBy(q, t).agg(F.max("chain_score").alias("chain"))
     both = best.join(chained, [q, t], "left").select(q, t, "hits", F.greatest("single", F.coalesce("chain", "single")).alias("evidence"))
-    enough = both.filter(F.col("evidence") >= gate)
+    return placed(both.filter(F.col("evidence") >= gate), q, t, most, ranked)
+
+
+def placed(enough: DataFrame, q: str, t: str, most: int = 0, ranked: bool = True) -> DataFrame:
+    """Candidates (q, t, evidence) with their rank, `most` of each query where it isn't 0."""
     if not most and not ranked:
         return enough
-    placed = enough.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy(F.desc("evidence"), t)))
-    return placed.filter(F.col("rank") <= most) if most else placed
+    found = enough.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy(F.desc("evidence"), t)))
+    return found.filter(F.col("rank") <= most) if most else found

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics as st
 from ..functions.residues import ALPHABET, BACKGROUND
-from ..operators import alignment, profile, seeds, ungapped
+from ..operators import alignment, profile, seeds
 from ..operators.alignment import Scoring
-from ..operators.kernels import sw_ends, table_path
+from ..operators.kernels import lined_ends, table_path
 from ..sources.writers import a3m_row
-from .search import Options, evidence, paired, totals
+from .search import Options, candidates, paired, totals
 from .session import cut, ship
 
 # What gaps cost in eighths of a bit, and lambda and K where a calibration has no fit.
@@ -128,7 +128,7 @@ def calibrated(profiles: DataFrame, targets: DataFrame, residues: int, sequences
             for msa, held, which, sizes in zip(part["msa"], part["profile"], part["samples"], part["sizes"]):
                 rows = SCORING.rows(held)
                 made = [random_residues(draw, int(i), max(int(size), 1)) for i, size in zip(which, sizes)]
-                score = sw_ends([rows] * len(made), made, *GAPS)[:, 0]
+                score = lined_ends(rows, made, *GAPS)[:, 0]
                 yield pd.DataFrame({"msa": [msa] * len(made), "m": len(rows), "score": score})
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -146,15 +146,14 @@ def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, seque
     least = F.greatest(F.ceil(F.ln(F.col("k") * space / options.evalue) / F.col("lam")), F.lit(1)).cast("int")
     asked = cut(profiles.join(known, "msa").select("msa", F.col("profile").alias("qseq"), space.alias("space"), least.alias("least"), "lam", "k"))
     texts = targets.select(t, F.col("seq").alias("tseq"))
-    if options.exhaustive:
-        found = None
-    else:
+    found, told = None, False
+    if not options.exhaustive:
         seed = seeds.Seed(options.spaced)
-        segs = evidence(words(profiles, seed, *options.words), asked.select("msa", F.col("qseq").alias("seq")), targets, "msa", t, seed, options, SCORING, index)
-        found = ungapped.candidates(segs, "msa", t, options.min_diag_score, options.max_candidates, GAPS, ranked=False)
-        found = found.select("msa", t)
+        near = cut(words(profiles, seed, *options.words))
+        found, told = candidates(near, asked.select("msa", F.col("qseq").alias("seq"), "least"), targets, "msa", t, seed, options, SCORING, options.min_diag_score, index, False, "least")
+        found = cut(found.select("msa", t))
     pairs, spread = paired(found, asked, texts.filter("tseq != ''"), "msa", t)
-    return alignment.aligned(pairs, "msa", t, SCORING, options.evalue, options.min_qcov, options.min_tcov, options.max_hits, spread)
+    return alignment.aligned(pairs, "msa", t, SCORING, options.evalue, options.min_qcov, options.min_tcov, options.max_hits, spread, told)
 
 
 def hit_rows(hits: DataFrame, targets: DataFrame, t: str) -> DataFrame:
