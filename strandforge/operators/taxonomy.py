@@ -40,11 +40,38 @@ def kept(hits: DataFrame, q: str, fraction: float) -> DataFrame:
     return hits.withColumn("best", best).filter(F.col("score") >= F.col("best") * (1 - fraction)).drop("best")
 
 
-def lca(hits: DataFrame, path: DataFrame, q: str) -> DataFrame:
+#: Hits that a task is dealt, and nodes on paths that are handed to all tasks.
+DEALT, HANDED = 1 << 20, 1 << 23
+
+
+def dealt(hits: DataFrame, q: str) -> DataFrame:
+    """The hits by query, in as many tasks as they need, however many there are."""
+    spark = hits.sparkSession
+    return hits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-hits.count() // DEALT)), q)
+
+
+def lca(hits: DataFrame, path: DataFrame, q: str, fraction: float = 0.0) -> DataFrame:
     """q, taxid, assigned: the deepest node above all known taxa of a query's hits, null if none is known; how many distinct taxa the hits have.
+    fraction: of the hits that are kept() by it.
+
+    In the order of their paths from the root, all nodes below one stand side by side. So the first and the last of a query's taxa have the ancestor of
+    all of them, and no hit meets its path. Hits are dealt by query once. Nodes whose parents lead in a circle have no such order and are counted."""
+    taxa = kept(dealt(hits, q), q, fraction).select(q, "taxid").distinct()
+    nodes = path.agg(F.coalesce(F.sum(F.size("path")), F.lit(0))).first()[0]
+    near = F.broadcast if nodes <= HANDED else lambda df: df
+    ends = path.select(F.element_at("path", -1).alias("taxid")).distinct()
+    if not path.join(ends, "taxid", "left_semi").filter(F.size("path") > 1).isEmpty():
+        return _counted(taxa, near(path), q)
+    placed = cut(path.orderBy(F.reverse("path")).withColumn("number", F.monotonically_increasing_id()))
+    numbers = near(placed.select("taxid", "number"))
+    span = taxa.join(numbers, "taxid", "left").groupBy(q).agg(F.count("taxid").alias("assigned"), F.min("number").alias("first"), F.max("number").alias("last"))
+    one, other = near(placed.select(F.col("number").alias("first"), F.col("path").alias("up"))), near(placed.select(F.col("number").alias("last"), F.col("path").alias("above")))
+    common = F.filter("up", lambda x: F.array_contains("above", x))
+    return span.join(one, "first", "left").join(other, "last", "left").select(q, F.get(common, F.lit(0)).alias("taxid"), "assigned")
+
 
-    Counting decides: a node is common if as many distinct taxa pass through it as the query has. So no list of hits is ever gathered."""
-    taxa = hits.select(q, "taxid").distinct()
+def _counted(taxa: DataFrame, path: DataFrame, q: str) -> DataFrame:
+    """lca() of distinct taxa: a node is common if as many of them pass through it as the query has."""
     assigned = taxa.groupBy(q).agg(F.count("taxid").alias("assigned"))
     known = taxa.join(path, "taxid")
     through = known.select(q, "taxid", F.posexplode(F.reverse("path")).alias("depth", "node"))
