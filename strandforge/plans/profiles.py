@@ -193,6 +193,36 @@ def profilesearch(msa: DataFrame, targets: DataFrame, t: str, index: DataFrame |
 PAIR = "score int, qstart int, qend int, tstart int, tend int, columns int, identical int, cigar string"
 
 
+#: Scores of profiles, 8 bytes each, that are handed to all tasks; more move pair by pair.
+CELLS = 1 << 23
+
+
+def _handed(a: DataFrame, b: DataFrame, path, names: list[str], kinds: str, tasks: int) -> DataFrame:
+    """The paths of all pairs of two tables of profiles that every task has, so that pairs are but numbers."""
+    spark = a.sparkSession
+    sides = []
+    for x, n in ((a, "left"), (b, "right")):
+        held = x.toArrow()
+        sides.append((held.column(n).to_pylist(), [np.array(p.values) for p in held.column(f"{n}_p")], held.column(f"{n}_c").to_pylist()))
+    shared = spark.sparkContext.broadcast(sides)
+    size = len(sides[1][0])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right = shared.value
+        for part in batches:
+            for at in range(0, len(part), 256):
+                rows = []
+                for i in part["id"].iloc[at : at + 256]:
+                    i, j = divmod(int(i), size)
+                    found = path(left[1][i], right[1][j], left[2][i], right[2][j])
+                    if found is not None:
+                        rows.append({"left": left[0][i], "right": right[0][j]} | found)
+                yield pd.DataFrame(rows, columns=["left", "right", *names])
+
+    dealt = spark.range(0, len(sides[0][0]) * size, 1, tasks)
+    return dealt.mapInPandas(run, kinds)
+
+
 def profileprofile(left: DataFrame, right: DataFrame, pca: float = profile.PCA, pcb: float = profile.PCB, bias: float = 0.0) -> DataFrame:
     """left, right, score, bits, cons_id, places and path: the best local alignment of each left profile, the stated queries, with each right one.
 
@@ -206,23 +236,27 @@ def profileprofile(left: DataFrame, right: DataFrame, pca: float = profile.PCA,
         whole = cells.join(consensus, ["msa", "pos"]).groupBy("msa").agg(F.array_sort(F.collect_list(place)).alias("a"))
         return cut(whole.select(F.col("msa").alias(x), F.flatten(F.col("a.p")).alias(f"{x}_p"), F.array_join("a.consensus", "").alias(f"{x}_c")))
 
-    a, b = held(left, "left"), held(right, "right")
+    a = held(left, "left")
+    b = a.toDF("right", "right_p", "right_c") if right is left else held(right, "right")
     tasks = _tasks(a)
     odds = np.maximum(np.array(BACKGROUND), 1e-6)
+    names = [c.split()[0] for c in PAIR.split(", ")]
+
+    def path(p, q, x, y) -> dict | None:
+        both = np.log2(np.maximum((np.reshape(p, (-1, 20)) / odds) @ np.reshape(q, (-1, 20)).T, 1e-6)) * 8
+        table = np.clip(np.sign(both) * np.floor(np.abs(both) + 0.5), -128, 127).astype(np.int16)
+        return table_path(table, np.array(list(x))[:, None] == np.array(list(y)), *GAPS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            found, at = [], []
-            for i, (p, q, x, y) in enumerate(zip(part["left_p"], part["right_p"], part["left_c"], part["right_c"])):
-                both = np.log2(np.maximum((np.reshape(p, (-1, 20)) / odds) @ np.reshape(q, (-1, 20)).T, 1e-6)) * 8
-                table = np.clip(np.sign(both) * np.floor(np.abs(both) + 0.5), -128, 127).astype(np.int16)
-                path = table_path(table, np.array(list(x))[:, None] == np.array(list(y)), *GAPS)
-                if path is not None:
-                    found.append(path)
-                    at.append(i)
-            names = [c.split()[0] for c in PAIR.split(", ")]
-            yield pd.concat([part[["left", "right"]].iloc[at].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
-
-    kinds = [f"{x} {y.schema[x].dataType.simpleString()}" for x, y in (("left", a), ("right", b))]
-    pairs = a.crossJoin(b).repartition(tasks, F.xxhash64("left", "right")).mapInPandas(run, ", ".join([*kinds, PAIR]))
+            found = [path(*row) for row in zip(part["left_p"], part["right_p"], part["left_c"], part["right_c"])]
+            at = [i for i, x in enumerate(found) if x is not None]
+            yield pd.concat([part[["left", "right"]].iloc[at].reset_index(drop=True), pd.DataFrame([found[i] for i in at], columns=names)], axis=1)
+
+    kinds = ", ".join([*[f"{x} {y.schema[x].dataType.simpleString()}" for x, y in (("left", a), ("right", b))], PAIR])
+    cells = [x.agg(F.coalesce(F.sum(F.size(f"{n}_p")), F.lit(0))).first()[0] for x, n in ((a, "left"), (b, "right"))]
+    if max(cells) <= CELLS:
+        pairs = _handed(a, b, path, names, kinds, 4 * tasks)
+    else:
+        pairs = a.crossJoin(b).repartition(tasks, F.xxhash64("left", "right")).mapInPandas(run, kinds)
     return pairs.withColumn("bits", F.col("score") / 8).withColumn("cons_id", 100.0 * F.col("identical") / F.col("columns"))
