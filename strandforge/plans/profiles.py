@@ -18,7 +18,7 @@ from ..functions import statistics as st
 from ..functions.residues import ALPHABET, BACKGROUND
 from ..operators import alignment, profile, seeds
 from ..operators.alignment import Scoring
-from ..operators.kernels import lined_ends, table_path
+from ..operators.kernels import best_scores, table_path
 from ..sources.writers import a3m_row
 from .search import Options, candidates, paired, totals
 from .session import cut, ship
@@ -128,7 +128,7 @@ def calibrated(profiles: DataFrame, targets: DataFrame, residues: int, sequences
             for msa, held, which, sizes in zip(part["msa"], part["profile"], part["samples"], part["sizes"]):
                 rows = SCORING.rows(held)
                 made = [random_residues(draw, int(i), max(int(size), 1)) for i, size in zip(which, sizes)]
-                score = lined_ends(rows, made, *GAPS)[:, 0]
+                score = best_scores(rows, made, *GAPS)
                 yield pd.DataFrame({"msa": [msa] * len(made), "m": len(rows), "score": score})
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -140,6 +140,15 @@ def calibrated(profiles: DataFrame, targets: DataFrame, residues: int, sequences
     return scores.groupBy("msa").applyInPandas(fit, f"msa {kind}, lam double, k double")
 
 
+#: Hits that are handed to the tasks that read their targets' texts, which needn't be dealt out for them; more are joined.
+FEW = 1 << 16
+
+
+def _near(hits: DataFrame) -> DataFrame:
+    """A table of hits, on the side of a join that is handed out where they are few."""
+    return F.broadcast(hits) if hits.count() <= FEW else hits
+
+
 def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, sequences: int, options: ProfileOptions, index: DataFrame | None) -> DataFrame:
     known = calibrated(profiles, targets, residues, sequences, options.samples, options.draw)
     space = SCORING.length(F.col("profile")).cast("double") * float(max(residues, 1))
@@ -150,8 +159,13 @@ def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, seque
     if not options.exhaustive:
         seed = seeds.Seed(options.spaced)
         near = cut(words(profiles, seed, *options.words))
-        found, told = candidates(near, asked.select("msa", F.col("qseq").alias("seq"), "least"), targets, "msa", t, seed, options, SCORING, options.min_diag_score, index, False, "least")
+        found, told = candidates(near, asked.select("msa", F.col("qseq").alias("seq"), "least"), targets, "msa", t, seed, options, SCORING, options.min_diag_score, index, False, "least", True)
+        if told and options.max_hits and not options.min_qcov and not options.min_tcov:  # a profile's hits are in the order of their scores
+            best = F.row_number().over(W.partitionBy("msa").orderBy(F.desc("score"), t))
+            found = cut(found.select("msa", t, "score")).withColumn("rank", best).filter(F.col("rank") <= options.max_hits)
         found = cut(found.select("msa", t))
+        if told:
+            texts = texts.join(_near(found.select(t).distinct()), t, "left_semi")
     pairs, spread = paired(found, asked, texts.filter("tseq != ''"), "msa", t)
     return alignment.aligned(pairs, "msa", t, SCORING, options.evalue, options.min_qcov, options.min_tcov, options.max_hits, spread, told)
 
@@ -186,7 +200,7 @@ def profilesearch(msa: DataFrame, targets: DataFrame, t: str, index: DataFrame |
         if fresh.isEmpty():
             return hits
         seen = fresh.select("msa", t) if seen is None else cut(seen.unionByName(fresh.select("msa", t)))
-        rows = cut(rows.unionByName(hit_rows(fresh, targets, t)))
+        rows = cut(rows.unionByName(hit_rows(_near(fresh), targets, t)))
     raise AssertionError(options.rounds)
 
 
