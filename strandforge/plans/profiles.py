@@ -20,7 +20,7 @@ from ..operators import alignment, profile, seeds
 from ..operators.alignment import Scoring
 from ..operators.kernels import best_scores, table_path
 from ..sources.writers import a3m_row
-from .search import Options, candidates, paired, totals
+from .search import Options, candidates, near, paired, totals
 from .session import cut, ship
 
 # What gaps cost in eighths of a bit, and lambda and K where a calibration has no fit.
@@ -140,15 +140,6 @@ def calibrated(profiles: DataFrame, targets: DataFrame, residues: int, sequences
     return scores.groupBy("msa").applyInPandas(fit, f"msa {kind}, lam double, k double")
 
 
-#: Hits that are handed to the tasks that read their targets' texts, which needn't be dealt out for them; more are joined.
-FEW = 1 << 16
-
-
-def _near(hits: DataFrame) -> DataFrame:
-    """A table of hits, on the side of a join that is handed out where they are few."""
-    return F.broadcast(hits) if hits.count() <= FEW else hits
-
-
 def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, sequences: int, options: ProfileOptions, index: DataFrame | None) -> DataFrame:
     known = calibrated(profiles, targets, residues, sequences, options.samples, options.draw)
     space = SCORING.length(F.col("profile")).cast("double") * float(max(residues, 1))
@@ -165,7 +156,7 @@ def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, seque
             found = cut(found.select("msa", t, "score")).withColumn("rank", best).filter(F.col("rank") <= options.max_hits)
         found = cut(found.select("msa", t))
         if told:
-            texts = texts.join(_near(found.select(t).distinct()), t, "left_semi")
+            texts = texts.join(near(found.select(t).distinct()), t, "left_semi")
     pairs, spread = paired(found, asked, texts.filter("tseq != ''"), "msa", t)
     return alignment.aligned(pairs, "msa", t, SCORING, options.evalue, options.min_qcov, options.min_tcov, options.max_hits, spread, told)
 
@@ -200,7 +191,7 @@ def profilesearch(msa: DataFrame, targets: DataFrame, t: str, index: DataFrame |
         if fresh.isEmpty():
             return hits
         seen = fresh.select("msa", t) if seen is None else cut(seen.unionByName(fresh.select("msa", t)))
-        rows = cut(rows.unionByName(hit_rows(_near(fresh), targets, t)))
+        rows = cut(rows.unionByName(hit_rows(near(fresh), targets, t)))
     raise AssertionError(options.rounds)
 
 
