@@ -149,8 +149,8 @@ def _round(profiles: DataFrame, targets: DataFrame, t: str, residues: int, seque
     found, told = None, False
     if not options.exhaustive:
         seed = seeds.Seed(options.spaced)
-        near = cut(words(profiles, seed, *options.words))
-        found, told = candidates(near, asked.select("msa", F.col("qseq").alias("seq"), "least"), targets, "msa", t, seed, options, SCORING, options.min_diag_score, index, False, "least", True)
+        held = cut(words(profiles, seed, *options.words))
+        found, told = candidates(held, asked.select("msa", F.col("qseq").alias("seq"), "least"), targets, "msa", t, seed, options, SCORING, options.min_diag_score, index, False, "least", True)
         if told and options.max_hits and not options.min_qcov and not options.min_tcov:  # a profile's hits are in the order of their scores
             best = F.row_number().over(W.partitionBy("msa").orderBy(F.desc("score"), t))
             found = cut(found.select("msa", t, "score")).withColumn("rank", best).filter(F.col("rank") <= options.max_hits)
