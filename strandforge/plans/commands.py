@@ -69,7 +69,7 @@ def align(query: DataFrame, targets: DataFrame, q: str, t: str) -> DataFrame:
 def classify(hits: DataFrame, queries: DataFrame, taxa: DataFrame, nodes: DataFrame, q: str, t: str, fraction: float = 0.0) -> DataFrame:
     """q, taxid, rank, name, assigned_hits of every query: the lowest common ancestor of its hits' taxa (taxa: t, taxid; nodes: taxid, parent, rank,
     name), of those within `fraction` of the best bits where that is above 0. Hits without a taxon don't count; a query without a known one is unclassified."""
-    placed = hits.join(taxa.select(t, "taxid"), t).select(q, "taxid", F.col("bits").alias("score"))
+    placed = cut(hits.join(taxa.select(t, "taxid"), t).select(q, "taxid", F.col("bits").alias("score")))  # they are counted, then dealt
     found = taxonomy.lca(taxonomy.kept(placed, q, fraction), taxonomy.paths(nodes), q).filter("taxid IS NOT NULL")
     named = found.join(nodes.select("taxid", "rank", "name"), "taxid", "left")
     return queries.select(q).join(named, q, "left").select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strandforge.operators import alignment, swept
 from strandforge.operators.alignment import score_rows
 from strandforge.operators.kernels import sw_ends
-from strandforge.plans import search
+from strandforge.plans import commands, search
 
 BASE = "MKVLLACDEFGHIKLMNPQRSTVWYMKWWHHEEDDKKAVGTRSPLMNCQAEWIKDRFLTPYHGSMVNQC"
 
@@ -41,3 +41,19 @@ def test_searches_sweep(spark, monkeypatch):
     for f in (search.search, search.easysearch):
         assert len(want[f, 0]) == 12 and sorted(map(tuple, f(q, t, "q", "t", max_hits=0).collect())) == want[f, 0]
         assert [r["t"] for r in f(q, t, "q", "t", max_hits=5).orderBy("rank").collect()] == [0, 4, 8, 1, 5]
+
+
+def test_hits_are_found_once_for_their_taxonomy(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    kinds = "q long, t long, bits double"
+    hits = spark.createDataFrame([(1, 5, 9.0), (1, 6, 8.5), (2, 6, 3.0)], kinds).mapInPandas(found, kinds)
+    q, taxa = spark.createDataFrame([(1,), (2,), (3,)], "q long"), spark.createDataFrame([(5, 3), (6, 4)], "t long, taxid long")
+    nodes = spark.createDataFrame([(1, 1, "root", "root"), (2, 1, "genus", "A"), (3, 2, "species", "B"), (4, 2, "species", "C")], "taxid long, parent long, rank string, name string")
+    got = {r["q"]: r["taxid"] for r in commands.classify(hits, q, taxa, nodes, "q", "t", 0.1).collect()}
+    assert got == {1: 2, 2: 4, 3: 0} and made.value == 3
